@@ -91,8 +91,8 @@ def runs(docs: DataFrame, units) -> DataFrame:
     return docs.select("k", "did", "text").mapInArrow(run, RUN)
 
 
-def groups_that(batches, confirmed):
-    """From batches sorted by `a`, the rows of groups that `confirmed(batch, starts)` accepts.
+def groups_that(batches, confirmed, key="a"):
+    """From batches sorted by key, the rows of groups that `confirmed(batch, starts)` accepts.
 
     A group is held back only until it is confirmed, so a group of any size passes through.
     """
@@ -102,7 +102,7 @@ def groups_that(batches, confirmed):
             continue
         if held is not None:
             batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-        a = batch.column("a").to_numpy()
+        a = batch.column(key).to_numpy()
         starts = np.concatenate([[0], np.flatnonzero(a[1:] != a[:-1]) + 1])
         ok = confirmed(batch, starts)
         if sure and a[0] == last:

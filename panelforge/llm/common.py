@@ -49,7 +49,8 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def doc_id(did="did"):
     """The document's id again, null where it was null."""
-    return F.when(F.col(did) != MAX_ID, F.col(did)).alias("doc_id")
+    did = F.col(did) if isinstance(did, str) else did
+    return F.when(did != MAX_ID, did).alias("doc_id")
 
 
 # ---------------------------------------------------------------- vectorised hashing

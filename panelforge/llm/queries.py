@@ -41,6 +41,18 @@ def op4_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.remove_phrases(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelforge.llm import line_dedup
+
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelforge.llm import ngram_join
+
+    return ngram_join.ngram_components(table(spark, sf_dir, "documents"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -55,5 +67,5 @@ def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_substrings(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality, op4_repeated_phrases, op8_best_fit_packing, op10_suffix_array)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality, op4_repeated_phrases, op6_line_dedup, op7_ngram_join, op8_best_fit_packing, op10_suffix_array)}
 ORACLES: dict[str, str] = {}
