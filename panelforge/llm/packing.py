@@ -14,6 +14,8 @@ doc_id is kept.  Only documents longer than the capacity are cut.
 
 from __future__ import annotations
 
+import array
+import json
 import os
 import re
 import zlib
@@ -25,14 +27,22 @@ from pyspark.sql import functions as F
 
 from panelforge.llm.common import durable, text_chunks
 
-WORDS = re.compile(r"[^\x20\x09-\x0D]+")
-MEMO_WORDS, MEMO_CHARS = 200_000, 48
+#: Precomposed Latin letters, which every normal form of composition keeps.
+LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0134-\u017e"
+LATIN = re.compile(f"[{LETTER}]+")
+WHITE = "\x20\x09-\x0d"
+WORDS = re.compile(f"(?<![^{WHITE}])[{LETTER}]+(?=[.,]?(?![^{WHITE}]))|[^{WHITE}]+")
+MEMO_WORDS, MEMO_CHARS = 250_000, 48
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 BUCKET_ITEMS = 16384
 
 
 class WordCodec:
-    """A tokenizer file whose words, split at ASCII white space, are independent."""
+    """A tokenizer file whose words, split at ASCII white space, are independent.
+
+    A word of Latin letters, or such a word with a final point or comma, needs neither the
+    normaliser nor the splitting pattern: it is lower-cased and merged as one piece.
+    """
 
     loaded: dict[str, "WordCodec"] = {}
 
@@ -42,7 +52,12 @@ class WordCodec:
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
+        bare = json.loads(self.model.to_str())
+        bare |= {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": False, "use_regex": False}}
+        self.pieces = Tokenizer.from_str(json.dumps(bare))
+        self.pieces.encode_special_tokens = True
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> "WordCodec":
@@ -50,14 +65,24 @@ class WordCodec:
             cls.loaded[path] = cls(path)
         return cls.loaded[path]
 
+    def learn(self, model, words: list[str], keys: list[str]):
+        for k, e in zip(keys, model.encode_batch_fast(words, add_special_tokens=False), strict=True):
+            self.memo[k] = array.array("I", e.ids).tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
         if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
-        memo, words = self.memo, [WORDS.findall(t) for t in texts]
-        new = list({w for ws in words for w in ws} - memo.keys())
-        for w, e in zip(new, self.model.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            memo[w] = np.array(e.ids, "<u4").tobytes()
-        out = [b"".join(map(memo.__getitem__, ws)) for ws in words]
+            self.memo, self.older = {}, self.memo
+        memo, units = self.memo, [WORDS.findall(t) for t in texts]
+        new = set().union(*units) - memo.keys()
+        for w in new & self.older.keys():
+            memo[w] = self.older[w]
+        new = list(new - self.older.keys())
+        plain = [w for w in new if LATIN.fullmatch(w)]
+        other = [w for w in new if not LATIN.fullmatch(w)]
+        self.learn(self.pieces, [w.lower() for w in plain], plain)
+        self.learn(self.model, other, other)
+        out = [b"".join(map(memo.__getitem__, us)) for us in units]
         for w in new:
             if len(w) > MEMO_CHARS:
                 del memo[w]
