@@ -60,8 +60,12 @@ def near(line: Column, other: Column, tau: int) -> Column:
     return F.levenshtein(line, other, tau) >= 0
 
 
-def dedup_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, n_lines, n_removed, text): documents without the lines that stand earlier."""
+def dedup_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_lines, n_removed, text): documents without the lines that stand earlier.
+
+    Where ids are unique, columns named in carry follow.
+    """
+    rest = docs
     docs = keyed(docs)
     dealt = docs.repartition("k")
     split = F.split("text", "\n", -1)
@@ -78,11 +82,11 @@ def dedup_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) ->
     probe = lines.select(F.col("k").alias("k2"), F.col("did").alias("did2"), F.col("at").alias("at2"), F.col("n").alias("n2"), F.explode(probe_keys(tau)).alias("key")).where("key IS NOT NULL")
     a, b = F.struct("did", "k", "at"), F.struct("did2", "k2", "at2")
     # of equal lengths each pair is met from both sides: one is enough
-    pairs = index.join(probe, "key").where((F.col("n") < F.col("n2")) | (a < b)).select("k", "did", "at", "k2", "did2", "at2").distinct()
+    pairs = index.join(probe, "key").where((F.col("n") < F.col("n2")) | (a < b)).select("k", "at", "k2", "at2").distinct()
     pairs = durable(pairs)
-    texts = dealt.select("k", "text")
-    pairs = pairs.join(texts, "k").withColumn("line", F.get(split, F.col("at"))).drop("text")
-    pairs = pairs.join(texts.withColumnRenamed("k", "k2"), "k2").withColumn("line2", F.get(split, F.col("at2"))).drop("text")
+    # every use of `dealt` reads the same columns, so that one exchange serves all
+    pairs = pairs.join(dealt, "k").withColumn("line", F.get(split, F.col("at"))).drop("text")
+    pairs = pairs.join(dealt.withColumnsRenamed({"k": "k2", "did": "did2"}), "k2").withColumn("line2", F.get(split, F.col("at2"))).drop("text")
     found = pairs.where(near(F.col("line"), F.col("line2"), tau))
     later = F.when(a < b, F.struct(F.col("k2").alias("k"), F.col("at2").alias("at"))).otherwise(F.struct("k", "at"))
     late = found.select(later.alias("l")).select("l.k", "l.at", F.lit(True).alias("late")).distinct()
@@ -94,8 +98,10 @@ def dedup_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) ->
     judged = judged.select("k", F.struct("at", F.coalesce(gone, F.lit(False)).alias("gone")).alias("flag"))
     flags = judged.groupBy("k").agg(F.array_sort(F.collect_set("flag")).alias("flags"), F.max("flag.gone").alias("some")).where("some")
     out = dealt.join(flags.select("k", "flags"), "k", "left").withColumn("lines", split)
+    if carry:
+        out = out.join(rest.select(F.col("doc_id").cast("long").alias("k"), *carry), "k", "left")
     kept = F.filter(F.zip_with("lines", "flags", lambda x, f: F.when(~f["gone"], x)), lambda x: x.isNotNull())
     removed = F.coalesce(F.size(F.filter("flags", lambda f: f["gone"])), F.lit(0))
     removed = F.when(F.col("flags").isNull(), 0).otherwise(removed)
     text = F.when(F.col("flags").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return out.select(doc_id(), F.size("lines").cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"), text.alias("text"))
+    return out.select(doc_id(), F.size("lines").cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"), text.alias("text"), *carry)

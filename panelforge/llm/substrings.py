@@ -15,6 +15,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelforge.llm import anchors
 from panelforge.llm.common import BYTE_POWERS, PrefixHash, Texts, doc_id, keyed, mix, ragged, text_chunks
@@ -139,8 +141,11 @@ def sort_regions(rows) -> list[tuple[int, list[int], list[int], list[int]]]:
     return out
 
 
-def remove_substrings(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept): documents without bytes that recur."""
+def remove_substrings(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept): documents without bytes that recur.
+
+    Where ids are unique, columns named in carry follow.
+    """
 
     def run(batches):
         for batch in batches:
@@ -164,8 +169,13 @@ def remove_substrings(docs: DataFrame) -> DataFrame:
                 kept_off = t.offsets - total[t.offsets]
                 kept = pa.LargeBinaryArray.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer(kept_off.astype(np.int64)), pa.py_buffer(t.data[~gone])]).cast(pa.binary())
                 cols = [part.column("did"), pa.array(np.diff(t.offsets)), pa.array(removed), pa.array(spans), kept]
-                yield pa.RecordBatch.from_arrays(cols, ["did", "n_bytes", "n_removed", "n_spans", "kept"])
-
-    out = anchors.covers(keyed(docs), anchors.Bytes, False, sort_regions).select("did", "text", "covers")
-    out = out.mapInArrow(run, "did long, n_bytes long, n_removed long, n_spans long, kept binary")
-    return out.select(doc_id(), "n_bytes", "n_removed", "n_spans", "kept")
+                yield pa.RecordBatch.from_arrays([*cols, *(part.column(c) for c in carry)], ["did", "n_bytes", "n_removed", "n_spans", "kept", *carry])
+
+    out = anchors.covers(keyed(docs), anchors.Bytes, False, sort_regions)
+    fields = [T.StructField(c, t()) for c, t in (("did", T.LongType), ("n_bytes", T.LongType), ("n_removed", T.LongType), ("n_spans", T.LongType), ("kept", T.BinaryType))]
+    if carry:
+        rest = docs.select(F.col("doc_id").cast("long").alias("k"), *carry)
+        out = out.join(rest, "k", "left")
+        fields += rest.schema.fields[1:]
+    out = out.select("did", "text", "covers", *carry).mapInArrow(run, T.StructType(fields))
+    return out.select(doc_id(), "n_bytes", "n_removed", "n_spans", "kept", *carry)
