@@ -101,11 +101,13 @@ class Codec:
         return (char[starts + 1] - 1 if len(starts) else starts), char[ends]
 
 
-def encode(docs: DataFrame, ranks: str, pattern: str, offsets: bool = False) -> DataFrame:
+def encode(docs: DataFrame, ranks: str, pattern: str, offsets: bool = False, decoded: bool = False) -> DataFrame:
     """(doc_id, ids) of documents (doc_id, text): ids as packed little-endian u32.
 
-    With offsets, also char_start and char_end: the characters each token covers.
+    With offsets, also char_start and char_end: the characters each token covers.  With
+    decoded, also bytes: the ids decoded again, in the same pass, to check the round trip.
     """
+    names = ["doc_id", "ids"] + ["char_start", "char_end"] * offsets + ["bytes"] * decoded
 
     def run(batches):
         codec = Codec.of(ranks, pattern)
@@ -117,9 +119,11 @@ def encode(docs: DataFrame, ranks: str, pattern: str, offsets: bool = False) ->
                 if offsets:
                     spans = [codec.offsets(i, t) for i, t in zip(ids, texts, strict=True)]
                     cols += [pa.array([s[j].astype(np.int32) for s in spans], pa.list_(pa.int32())) for j in (0, 1)]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "ids", "char_start", "char_end"][: len(cols)])
+                if decoded:
+                    cols.append(pa.array([codec.decode(i) for i in ids], pa.binary()))
+                yield pa.RecordBatch.from_arrays(cols, names)
 
-    schema = "doc_id long, ids binary" + (", char_start array<int>, char_end array<int>" if offsets else "")
+    schema = "doc_id long, ids binary" + ", char_start array<int>, char_end array<int>" * offsets + ", bytes binary" * decoded
     return docs.selectExpr("CAST(doc_id AS long) doc_id", "text").mapInArrow(run, schema)
 
 

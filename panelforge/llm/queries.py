@@ -16,8 +16,7 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelforge.llm import byte_bpe
 
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    ids = byte_bpe.encode(table(spark, sf_dir, "documents"), ranks, pattern)
-    return byte_bpe.decode(ids, ranks, pattern).select(
+    return byte_bpe.encode(table(spark, sf_dir, "documents"), ranks, pattern, decoded=True).select(
         "doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256")
     )
 
