@@ -95,3 +95,8 @@ def linear_quantile(sorted_values: Column, q: Column) -> Column:
     low = F.get(sorted_values, F.floor(at).cast("int"))
     high = F.get(sorted_values, F.ceil(at).cast("int"))
     return F.when(n > 0, low + (high - low) * (at - F.floor(at)))
+
+
+def slope(y: Column | str, x: Column | str) -> Column:
+    """Aggregate: the least-squares slope of y on x; null where x does not vary."""
+    return F.try_divide(F.covar_pop(y, x), F.nullif(F.var_pop(x), F.lit(0.0)))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelforge.functions.metrics import fva_class, mae, normalized_bias, wmape
+from panelforge.functions.metrics import fva_class, mae, normalized_bias, slope, wmape
 from panelforge.operators.panel import ID, TIME, VALUE
 from panelforge.plans.models import quantile_name
 
@@ -261,7 +261,7 @@ def decompose_forecast(history: DataFrame, forecasts: DataFrame, season: int = 5
     x = decompose(history, season)
     r = F.row_number().over(W.partitionBy(ID).orderBy(F.desc(TIME)))
     known = x.where("trend IS NOT NULL").withColumn("_r", r).where(F.col("_r") <= tail)
-    line = known.groupBy(ID).agg(F.max_by("trend", TIME).alias("level"), F.coalesce(F.regr_slope("trend", -F.col("_r")), F.lit(0.0)).alias("slope"))
+    line = known.groupBy(ID).agg(F.max_by("trend", TIME).alias("level"), F.coalesce(slope("trend", -F.col("_r")), F.lit(0.0)).alias("slope"))
     n = history.groupBy(ID).agg(F.count("*").alias("n"))
     seas = x.groupBy(ID, "_p").agg(F.max("seasonal").alias("seasonal"))
     out = forecasts.join(line, ID).join(n, ID).withColumn("_p", (F.col("n") + F.col("step") - 1) % season).join(seas, [ID, "_p"], "left")

@@ -39,7 +39,7 @@ def functional_levels(df: DataFrame, columns: list[str]) -> DataFrame:
     pairs = [(c, p) for c in columns for p in columns if c != p]
     out = None
     for c, p in pairs:
-        one = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.countDistinct(p).alias("n")).agg(F.max("n").alias("m"))
+        one = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.countDistinct(p).alias("_n")).agg(F.max("_n").alias("m"))
         one = one.select(F.lit(c).alias("child"), F.lit(p).alias("parent"), (F.col("m") == 1).alias("holds"))
         out = one if out is None else out.unionByName(one)
     return out

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from panelforge.functions.metrics import slope
 from panelforge.operators.validation import NUMERIC
 
 
@@ -54,7 +55,7 @@ def temporal_profile(df: DataFrame, date_col: str, metric: str, step_days: int =
     out = days.agg(
         F.min("d").alias("first"), F.max("d").alias("last"), F.count("*").alias("n_dates"),
         F.count_if(F.col("gap") > 1.5 * step_days).alias("n_gaps"),
-        F.coalesce(F.regr_slope("v", "i"), F.lit(0.0)).alias("slope"),
+        F.coalesce(slope("v", "i"), F.lit(0.0)).alias("slope"),
         F.coalesce(F.regr_r2("v", "i"), F.lit(0.0)).alias("trend_r2"),
     )
     out = out.withColumn("coverage_pct", F.round(100.0 * F.col("n_dates") / (F.datediff("last", "first") / step_days + 1), 2))
