@@ -100,3 +100,11 @@ def linear_quantile(sorted_values: Column, q: Column) -> Column:
 def slope(y: Column | str, x: Column | str) -> Column:
     """Aggregate: the least-squares slope of y on x; null where x does not vary."""
     return F.try_divide(F.covar_pop(y, x), F.nullif(F.var_pop(x), F.lit(0.0)))
+
+
+def pearson(a: Column | str, b: Column | str) -> Column:
+    """Aggregate: the correlation on complete rows; null where either side does not vary."""
+    a, b = (F.col(c) if isinstance(c, str) else c for c in (a, b))
+    both = a.isNotNull() & b.isNotNull()
+    spread = F.sqrt(F.var_pop(F.when(both, a)) * F.var_pop(F.when(both, b)))
+    return F.try_divide(F.covar_pop(a, b), F.nullif(spread, F.lit(0.0)))

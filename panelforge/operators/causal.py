@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelforge.functions.metrics import two_sided_p
+from panelforge.functions.metrics import pearson, two_sided_p
 from panelforge.operators.panel import ID, TIME, VALUE
 
 
@@ -47,7 +47,7 @@ def cannibalisation(df: DataFrame, group: str, threshold: float = -0.3, season:
     x = x.join(common, [group, time], "left_semi")
     other = x.select(group, time, F.col(id_col).alias("other"), F.col("residual").alias("r2"))
     pairs = x.join(other, [group, time]).where(F.col(id_col) < F.col("other"))
-    out = pairs.groupBy(group, F.col(id_col).alias("series_a"), F.col("other").alias("series_b")).agg(F.corr("residual", "r2").alias("correlation"), F.count("*").alias("n"))
+    out = pairs.groupBy(group, F.col(id_col).alias("series_a"), F.col("other").alias("series_b")).agg(pearson("residual", "r2").alias("correlation"), F.count("*").alias("n"))
     return out.where(F.col("correlation") <= threshold)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelforge.functions.metrics import slope
+from panelforge.functions.metrics import pearson, slope
 
 PREDECESSORS = ("Discontinued", "Declining")
 #: Suffixes that mark a generation, in order of precedence.
@@ -126,7 +126,7 @@ def comovement_candidates(products: DataFrame, sales: DataFrame, window_days: in
     a = s.select(F.col("sku_id").alias("old_sku"), "week", F.col("quantity").alias("qo"), F.col("d").alias("do"))
     b = s.select(F.col("sku_id").alias("new_sku"), "week", F.col("quantity").alias("qn"), F.col("d").alias("dn"))
     both = p.join(a, "old_sku").join(b, ["new_sku", "week"])
-    x = both.groupBy("old_sku", "new_sku").agg(F.corr(-F.col("do"), "dn").alias("c"), F.count("*").alias("n"), F.avg("qo").alias("qo"), F.avg("qn").alias("qn"))
+    x = both.groupBy("old_sku", "new_sku").agg(pearson(-F.col("do"), "dn").alias("c"), F.count("*").alias("n"), F.avg("qo").alias("qo"), F.avg("qn").alias("qn"))
     x = x.where(F.col("n") >= min_weeks)
     volume = F.coalesce(F.try_divide(F.least("qo", "qn"), F.nullif(F.greatest("qo", "qn"), F.lit(0.0))), F.lit(0.0))
     score = 0.40 * F.greatest(F.lit(0.0), F.coalesce("c", F.lit(0.0))) + 0.35 * F.least(F.lit(1.0), F.col("n") / 26) + 0.25 * volume

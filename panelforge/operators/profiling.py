@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelforge.functions.metrics import slope
+from panelforge.functions.metrics import pearson, slope
 from panelforge.operators.validation import NUMERIC
 
 
@@ -41,7 +41,7 @@ def correlations(df: DataFrame, columns: list[str] | None = None, threshold: flo
     columns = columns or numeric_columns(df)
     rows = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).dropna()
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    row = rows.agg(*[F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
+    row = rows.agg(*[pearson(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
     items = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{i}").alias("r")) for i, (a, b) in enumerate(pairs)])
     out = row.select(F.explode(items).alias("x")).select("x.*").where(F.abs("r") >= threshold)
     return out.withColumn("strength", F.when(F.abs("r") >= 0.7, "strong").otherwise("moderate"))

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelforge.functions import calendar
+from panelforge.functions.metrics import pearson
 from panelforge.operators.panel import ID, TIME, VALUE
 
 
@@ -32,7 +33,7 @@ def screen_variance(df: DataFrame, columns: list[str], low: float = 1e-6) -> Dat
 def screen_correlation(df: DataFrame, columns: list[str], high: float = 0.95) -> DataFrame:
     """Pairs so correlated that one could go; a warning only."""
     pairs = list(combinations(columns, 2))
-    row = df.agg(*[F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
+    row = df.agg(*[pearson(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
     items = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{i}").alias("r")) for i, (a, b) in enumerate(pairs)])
     return row.select(F.explode(items).alias("x")).select("x.*").where(F.abs("r") >= high)
 

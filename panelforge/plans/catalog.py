@@ -426,10 +426,12 @@ def backtest_records(spark, sf):
 # ------------------------------------------------------------------ series quality
 @query(f"""WITH {SPARSE}, s AS (SELECT series_id, count(*) AS n, count(*) FILTER (WHERE quantity > 0) AS nz, avg(quantity) FILTER (WHERE quantity > 0) AS m, stddev_pop(quantity) FILTER (WHERE quantity > 0) AS sd FROM filled GROUP BY 1),
 c AS (SELECT series_id, CASE WHEN n >= 10 AND nz >= 2 THEN n::DOUBLE / nz END AS adi, CASE WHEN n >= 10 AND nz >= 2 THEN (sd / m) ** 2 END AS cv2 FROM s)
-SELECT series_id, round(adi, 5) AS adi, round(cv2, 5) AS cv2, CASE WHEN adi IS NULL THEN 'insufficient_data' WHEN adi < 1.32 AND cv2 < 0.49 THEN 'smooth' WHEN adi >= 1.32 AND cv2 < 0.49 THEN 'intermittent' WHEN adi < 1.32 THEN 'erratic' ELSE 'lumpy' END AS demand_class,
+SELECT series_id, round(adi + 1e-9, 5) AS adi, round(cv2 + 1e-9, 5) AS cv2, CASE WHEN adi IS NULL THEN 'insufficient_data' WHEN adi < 1.32 AND cv2 < 0.49 THEN 'smooth' WHEN adi >= 1.32 AND cv2 < 0.49 THEN 'intermittent' WHEN adi < 1.32 THEN 'erratic' ELSE 'lumpy' END AS demand_class,
   coalesce(adi >= 1.32, false) AS is_sparse FROM c""")
 def sbc_classes(spark, sf):
-    return rounded(demand.classify_demand(panel.fill_gaps(parts_weekly(spark, sf))), "adi", "cv2", places=5)
+    out = demand.classify_demand(panel.fill_gaps(parts_weekly(spark, sf)))
+    # ratios of small integers lie on .5 boundaries: a hair more rounds alike in both engines
+    return rounded(out.withColumns({c: F.col(c) + 1e-9 for c in ("adi", "cv2")}), "adi", "cv2", places=5)
 
 
 FENCES = f"""WITH {DENSE}, q AS (SELECT series_id, quantile_cont(quantity, 0.25) AS q1, quantile_cont(quantity, 0.75) AS q3 FROM filled GROUP BY 1),
