@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import BYTE_POWERS, WORD_POWERS, PrefixHash, Texts, mix, sliding_min, text_chunks
+from panelforge.llm.common import BYTE_POWERS, SPACE, WORD_POWERS, PrefixHash, Texts, mix, ragged, sliding_min, text_chunks
 
 RUN = "a long, k long, did long, start int, len int, twice boolean"
 
@@ -142,16 +142,28 @@ def by_document(found: DataFrame, *fields: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ regions of runs
-def region_bytes(t: Texts, places, units, doc: int, start: int, length: int) -> bytes:
-    """The text of a run's windows together; words are joined by one space."""
+def region_bytes(t: Texts, units, doc: np.ndarray, start: np.ndarray, length: np.ndarray) -> pa.Array:
+    """The text of each run's windows together; words are joined by one space."""
     n = length + units.window - 1
-    if places is None:
-        at = int(t.offsets[doc]) + start
-        return t.data[at : at + n].tobytes()
-    starts, ends, first = places
-    at = int(first[doc]) + start
-    raw = t.data[starts[at] : ends[at + n - 1]].tobytes()
-    return raw if ends[at + n - 1] - starts[at] - int((ends - starts)[at : at + n].sum()) == n - 1 and raw.count(b" ") == n - 1 else b" ".join(raw.split())
+    if units is not Words:
+        begin = t.offsets[doc] + start
+        return binaries(t.data, begin, n)
+    starts, ends, first = t.words()
+    spaced = np.where(SPACE[t.data], np.uint8(32), t.data)
+    wide = np.zeros(len(starts) + 1, np.int64)  # words before each one that more than one byte parts from the next
+    wide[1:-1] = np.cumsum(starts[1:] - ends[:-1] > 1)
+    at = first[doc] + start
+    out = binaries(spaced, starts[at], ends[at + n - 1] - starts[at])
+    odd = wide[at + n - 1] > wide[at]
+    if odd.any():
+        out = pa.array([b" ".join(v.split()) if o else v for v, o in zip(out.to_pylist(), odd.tolist(), strict=True)], pa.binary())
+    return out
+
+
+def binaries(data: np.ndarray, begin: np.ndarray, lens: np.ndarray) -> pa.Array:
+    """Slices of an array as a column, without a Python object for each."""
+    offsets = np.concatenate([[0], np.cumsum(lens)])
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lens), [None, pa.py_buffer(offsets), pa.py_buffer(data[ragged(begin, lens)])]).cast(pa.binary())
 
 
 def regions(docs: DataFrame, found: DataFrame, units, text: bool) -> DataFrame:
@@ -164,18 +176,17 @@ def regions(docs: DataFrame, found: DataFrame, units, text: bool) -> DataFrame:
         for batch in batches:
             for part in text_chunks(batch):
                 t = Texts(part.column("text"))
-                places = t.words() if units is Words else None
                 lists = part.column("runs")
                 fields, off = lists.flatten(), np.diff(lists.offsets.to_numpy())
                 doc = np.repeat(np.arange(part.num_rows), off)
-                start, length = fields.field("start"), fields.field("len")
-                out = [region_bytes(t, places, units, *x) for x in zip(doc.tolist(), start.to_pylist(), length.to_pylist(), strict=True)]
+                start, length = fields.field("start"), fields.field("len").to_numpy().astype(np.int64)
+                out = region_bytes(t, units, doc, start.to_numpy().astype(np.int64), length)
                 take, a = pa.array(doc), fields.field("a")
                 did = part.column("did").take(take)
                 if text:
-                    yield pa.RecordBatch.from_arrays([a, did, pa.array(out, pa.binary())], ["a", "did", "region"])
+                    yield pa.RecordBatch.from_arrays([a, did, out], ["a", "did", "region"])
                 else:
-                    r = np.fromiter((xxhash.xxh3_64_intdigest(o) for o in out), np.uint64, len(out)).view(np.int64)
+                    r = np.fromiter((xxhash.xxh3_64_intdigest(o) for o in out.to_pylist()), np.uint64, len(out)).view(np.int64)
                     yield pa.RecordBatch.from_arrays([a, part.column("k").take(take), did, start, pa.array(r)], ["a", "k", "did", "start", "r"])
 
     here = docs.join(by_document(found, "a", "start", "len"), "k")
