@@ -249,13 +249,17 @@ def decomposition_kernel(season: int):
         if n == 0:
             return np.zeros(horizon)
         m = season if n >= 2 * season else 1
-        width = min(n, 2 * (m // 2) + 1)
-        trend = np.convolve(np.pad(y, width // 2, mode="edge"), np.ones(width) / width, "valid")[:n]
-        seas = np.array([(y - trend)[k::m].mean() for k in range(m)])
-        tail = trend[-min(n, 12) :]
+        # a centred mean over whole seasons: even ones count their ends by half
+        weights = np.ones(m) if m % 2 else np.concatenate([[0.5], np.ones(m - 1), [0.5]])
+        half = len(weights) // 2
+        trend = np.convolve(y, weights / m, "valid")
+        at = np.arange(half, half + len(trend))
+        off = y[at] - trend
+        seas = np.array([off[at % m == k].mean() if (at % m == k).any() else 0.0 for k in range(m)])
+        tail = trend[-12:]
         slope = np.polyfit(np.arange(len(tail)), tail, 1)[0] if len(tail) > 1 else 0.0
         h = np.arange(1, horizon + 1)
-        return trend[-1] + slope * h + seas[(n + h - 1) % m]
+        return trend[-1] + slope * (half + h) + seas[(n + h - 1) % m]
 
     return run
 
