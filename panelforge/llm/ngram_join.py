@@ -100,8 +100,29 @@ def described(h, first, percent):
     return n, p, sig.view(np.int64), group.view(np.int64), cold[first[:-1] + p] - cold[first[:-1]]
 
 
+RANGES, SKETCH_LIMIT = 64, 4000
+
+
+def sketches(h, first) -> pa.Array:
+    """How many shingles of each set fall into each of RANGES ranges of hashes, one byte each.
+
+    The sum of the smaller counts bounds the overlap of two sets from above.  A set with a
+    count over 254 has 255 throughout, which bounds nothing.
+    """
+    n = len(first) - 1
+    doc = np.repeat(np.arange(n), np.diff(first))
+    part = ((h >> _U(40)) % _U(RANGES)).astype(np.int64)
+    count = np.bincount(doc * RANGES + part, minlength=n * RANGES).reshape(n, RANGES)
+    count[count.max(1) > 254] = 255
+    flat = np.ascontiguousarray(count.astype(np.uint8)).reshape(-1)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(np.arange(n + 1, dtype=np.int64) * RANGES), pa.py_buffer(flat)]).cast(pa.binary())
+
+
+NO_SKETCH = b"\xff" * RANGES
+
+
 def nodes(docs: DataFrame, hot, percent: int) -> DataFrame:
-    """(k, did, n, sig, g, cold) of each document."""
+    """(k, did, n, sig, g, cold, sk) of each document."""
 
     def run(batches):
         table = hot.value
@@ -109,10 +130,10 @@ def nodes(docs: DataFrame, hot, percent: int) -> DataFrame:
             for part in text_chunks(batch):
                 h, first = ordered_sets(Texts(part.column("text")), table)
                 n, _, sig, group, cold = described(h, first, percent)
-                cols = [part.column("k"), part.column("did"), pa.array(n), pa.array(sig), pa.array(group), pa.array(cold)]
-                yield pa.RecordBatch.from_arrays(cols, ["k", "did", "n", "sig", "g", "cold"])
+                cols = [part.column("k"), part.column("did"), pa.array(n), pa.array(sig), pa.array(group), pa.array(cold), sketches(h, first)]
+                yield pa.RecordBatch.from_arrays(cols, ["k", "did", "n", "sig", "g", "cold", "sk"])
 
-    return docs.mapInArrow(run, "k long, did long, n long, sig long, g long, cold long")
+    return docs.mapInArrow(run, "k long, did long, n long, sig long, g long, cold long, sk binary")
 
 
 def prefixes(docs: DataFrame, hot, percent: int) -> DataFrame:
@@ -139,47 +160,42 @@ PAIR = "x long, y long, nx int, ny int, hot boolean"
 
 
 def stars(percent: int):
-    """From rows sorted by (tok, n, g): each group with its bucket's leader of matching size."""
+    """From rows sorted by shingle and any order within: each group with its bucket's leader of matching size.
+
+    The first group of a bucket leads all that match its size, the first of the rest leads
+    next, and so on: as many leaders as sizes differ, however many groups there are.
+    """
 
     def run(batches):
         carry = None
         for batch in batches:
             tok, g, n = (batch.column(c).to_numpy() for c in ("tok", "g", "n"))
             if carry is not None:
-                tok, g, n = (np.concatenate([[c], v]) for c, v in zip(carry, (tok, g, n), strict=True))
-            keep = np.ones(len(tok), bool)
-            keep[1:] = (tok[1:] != tok[:-1]) | (g[1:] != g[:-1])
-            tok, g, n = tok[keep], g[keep], n[keep]
-            xs, ys, nx, ny = [], [], [], []
-            left = np.arange(len(tok))
+                tok, g, n = (np.concatenate([c, v]) for c, v in zip(carry, (tok, g, n), strict=True))
+            if not len(tok):
+                continue
+            n = n.astype(np.int64)
+            out, leaders, left = [], [], np.arange(len(tok))
             while len(left):
                 head = np.ones(len(left), bool)
                 head[1:] = tok[left[1:]] != tok[left[:-1]]
                 lead = left[np.maximum.accumulate(np.where(head, np.arange(len(left)), 0))]
-                near = n[left] * percent <= n[lead] * 100
-                pair = near & ~head & (g[lead] != g[left])
-                xs.append(g[lead[pair]]), ys.append(g[left[pair]]), nx.append(n[lead[pair]]), ny.append(n[left[pair]])
+                near = (np.minimum(n[left], n[lead]) * 100 >= np.maximum(n[left], n[lead]) * percent) | head
+                pair = near & (g[lead] != g[left])
+                out.append((g[lead[pair]], g[left[pair]], n[lead[pair]], n[left[pair]]))
+                if tok[left[-1]] == tok[-1]:
+                    leaders.append(int(lead[-1]))
                 left = left[~near]
-            # the leader of the last row's bucket goes on into the next batch
-            same = np.flatnonzero(tok == tok[-1])
-            lead = max(leaders(n[same], same, percent))
-            carry = (tok[lead], g[lead], n[lead])
-            out = [np.concatenate(v) for v in (xs, ys, nx, ny)]
-            if len(out[0]):
-                cols = [pa.array(out[0]), pa.array(out[1]), pa.array(out[2].astype(np.int32)), pa.array(out[3].astype(np.int32)), pa.array(np.zeros(len(out[0]), bool))]
+            # the last bucket may go on: its leaders open the next batch
+            carry = (tok[leaders], g[leaders], n[leaders])
+            x, y, nx, ny = (np.concatenate(v) for v in zip(*out, strict=True))
+            if len(x):
+                cols = [pa.array(x), pa.array(y), pa.array(nx.astype(np.int32)), pa.array(ny.astype(np.int32)), pa.array(np.zeros(len(x), bool))]
                 yield pa.RecordBatch.from_arrays(cols, ["x", "y", "nx", "ny", "hot"])
 
     return run
 
 
-def leaders(n: np.ndarray, rows: np.ndarray, percent: int):
-    """The rows, in order of size, at which a new leader is due."""
-    at = 0
-    while at < len(n):
-        yield int(rows[at])
-        at = int(np.searchsorted(n * percent, n[at] * 100, "right"))
-
-
 def crossings(percent: int):
     """From rows sorted by (cell, n, g): pairs of groups of different components.
 
@@ -201,6 +217,7 @@ def crossings(percent: int):
 
     def emit(batch):
         cell, tok, g, n, pos, c, block, two = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("cell", "tok", "g", "n", "pos", "c", "block", "two"))
+        sk = Texts(batch.column("sk")).data.reshape(-1, RANGES)
         if not len(cell):
             return
         keep = np.ones(len(cell), bool)
@@ -208,7 +225,7 @@ def crossings(percent: int):
         start = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
         mixed = np.minimum.reduceat(c, start) != np.maximum.reduceat(c, start)
         keep &= np.repeat(mixed, np.diff(np.append(start, len(cell))))
-        cell, tok, g, c, block, two = (v[keep] for v in (cell, tok, g, c, block, two))
+        cell, tok, g, c, block, two, sk = (v[keep] for v in (cell, tok, g, c, block, two, sk))
         n, pos = n[keep].astype(np.int64), pos[keep].astype(np.int64)
         live, step = np.arange(len(cell)), 1
         while len(live):
@@ -221,6 +238,10 @@ def crossings(percent: int):
             need = -(-(n[live] + n[other]) * percent // (100 + percent))
             room = np.minimum(n[live] - pos[live], n[other] - pos[other])
             go = (c[live] != c[other]) & (~hot | (room >= need)) & (~two[live] | (block[live] != block[other]))
+            for at in range(0, len(live), 1 << 16):  # the sketches' bound, in pieces of bounded size
+                some = np.flatnonzero(go[at : at + (1 << 16)]) + at
+                most = np.minimum(sk[live[some]], sk[other[some]]).sum(1, dtype=np.int64)
+                go[some[(most < need[some]) & (np.maximum(n[live[some]], n[other[some]]) <= SKETCH_LIMIT)]] = False
             if go.any():
                 a, b = live[go], other[go]
                 cols = [pa.array(g[a]), pa.array(g[b]), pa.array(n[a].astype(np.int32)), pa.array(n[b].astype(np.int32)), pa.array(hot[go])]
@@ -240,7 +261,7 @@ def in_cells(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("block", F.pmod(F.xxhash64("g"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return rows.select(
-        F.xxhash64("tok", F.least("block", "to"), F.greatest("block", "to")).alias("cell"), "tok", "g", "n", "pos", "c", "block", (F.col("block") != F.col("to")).alias("two")
+        F.xxhash64("tok", F.least("block", "to"), F.greatest("block", "to")).alias("cell"), "tok", "g", "n", "pos", "c", "sk", "block", (F.col("block") != F.col("to")).alias("two")
     )
 
 
@@ -285,7 +306,7 @@ def ngram_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     node = durable(nodes(docs, hot, percent))
     some = node.where("n > 0")
     # equal sets are one node; a group's lead is its node with the least id
-    sets = some.groupBy("sig", "g", "n").agg(F.min(F.struct("did", "k")).alias("at"), F.min("cold").alias("cold")).select("sig", "g", "n", "cold", "at.did", "at.k")
+    sets = some.groupBy("sig", "g", "n").agg(F.min(F.struct("did", "k")).alias("at"), F.min("cold").alias("cold"), F.min("sk").alias("sk")).select("sig", "g", "n", "cold", "sk", "at.did", "at.k")
     sets = durable(sets)
     lead = sets.groupBy("g").agg(F.min(F.struct("did", "sig", "k")).alias("l"), F.min("cold").alias("cold")).select("g", "cold", F.col("l.sig").alias("sig"), F.col("l.k").alias("k"))
 
@@ -293,7 +314,11 @@ def ngram_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     shared = prefixes(docs, hot, percent).repartition("tok").sortWithinPartitions("tok")
     shared = durable(shared.mapInArrow(lambda batches: groups_that(batches, in_two_groups, "tok"), "tok long, g long, n int, pos int"))
     # round 1: leaders only
-    met = shared.repartition("tok").sortWithinPartitions("tok", "n", "g").mapInArrow(stars(percent), PAIR)
+    # smallest groups lead, and those in which the shingle stands first: a group of copies has its
+    # source there, since what only a copy has orders before what all share
+    dealt_again = shared.repartition("tok")
+    met = dealt_again.sortWithinPartitions("tok", "n", "g").mapInArrow(stars(percent), PAIR)
+    met = met.unionByName(dealt_again.sortWithinPartitions("tok", "pos", "n", "g").mapInArrow(stars(percent), PAIR))
     met = met.groupBy("x", "y", "nx", "ny").agg(F.count("*").alias("c"))
     need = F.expr(f"ceil((nx + ny) * {percent} / {100 + percent})")
     rest = F.expr(f"greatest(nx - (nx - ceil(nx * {percent} / 100) + 1), ny - (ny - ceil(ny * {percent} / 100) + 1))")
@@ -306,11 +331,11 @@ def ngram_components(docs: DataFrame, percent: int = 75) -> DataFrame:
 
     # round 2: what the leaders left apart
     sets = sets.join(label.select(F.col("node").alias("sig"), "root"), "sig", "left").withColumn("c", F.coalesce("root", "sig")).drop("root")
-    by_group = sets.groupBy("g").agg(F.min("c").alias("c"), F.max("c").alias("c2"), F.min("cold").alias("cold"))
+    by_group = sets.groupBy("g").agg(F.min("c").alias("c"), F.max("c").alias("c2"), F.min("cold").alias("cold"), F.min("sk").alias("sk"), F.count("*").alias("m"))
     # a group whose members lie apart is apart from every group, itself included
-    by_group = by_group.select("g", "cold", F.when(F.col("c") == F.col("c2"), F.col("c")).otherwise(F.xxhash64("g")).alias("c"), (F.col("c") != F.col("c2")).alias("apart"))
+    by_group = by_group.select("g", "cold", F.when(F.col("c") == F.col("c2"), F.col("c")).otherwise(F.xxhash64("g")).alias("c"), (F.col("c") != F.col("c2")).alias("apart"), F.when(F.col("m") == 1, F.col("sk")).otherwise(F.lit(NO_SKETCH)).alias("sk"))
     by_group = durable(by_group)
-    across = in_cells(shared.join(by_group.select("g", "c"), "g"))
+    across = in_cells(shared.join(by_group.select("g", "c", "sk"), "g"))
     across = across.repartition("cell").sortWithinPartitions("cell", "n", "g").mapInArrow(crossings(percent), PAIR)
     across = across.groupBy("x", "y", "nx", "ny").agg(F.sum((~F.col("hot")).cast("long")).alias("c"), F.max("hot").alias("hot"))
     for side in "xy":
