@@ -23,37 +23,32 @@ from panelforge.llm.common import doc_id, durable, keyed
 TAU, MIN_CHARS = 2, 20
 
 
-def segment(length: Column, i: int, tau: int) -> tuple[Column, Column]:
-    """Start (from 0) and length of segment i: the last ones are longer by one where needed."""
+def keys(lines: DataFrame, moves: list[tuple[int, int, int]], tau: int) -> DataFrame:
+    """(k, at, key): for each (delta, i, move) the line's substring where segment i of a line
+    shorter by delta would lie, moved; segments are even, the last ones longer by one where needed.
+
+    The moves are rows of a constant array, so the code stays small however many they are.
+    """
     parts = tau + 1
-    short = F.floor(length / parts).cast("int")
-    longer = (length % parts).cast("int")
-    shift = F.greatest(F.lit(0), F.lit(i) - (F.lit(parts) - longer))
-    return short * i + shift, short + F.when(F.lit(i) >= F.lit(parts) - longer, 1).otherwise(0)
+    c = F.array(*[F.struct(F.lit(d).alias("delta"), F.lit(i).alias("i"), F.lit(m).alias("move")) for d, i, m in moves])
+    x = lines.select("k", "at", "line", "n", F.explode(c).alias("c")).selectExpr("k", "at", "line", "n", "n - c.delta AS m", "c.i AS i", "c.move AS move")
+    x = x.selectExpr("*", f"CAST(m DIV {parts} AS int) AS short", f"{parts} - CAST(m % {parts} AS int) AS even")
+    x = x.selectExpr("k", "at", "line", "n", "m", "i", "short * i + greatest(0, i - even) + move AS place", "short + IF(i >= even, 1, 0) AS size")
+    return x.where("place >= 0 AND place + size <= n").selectExpr("k", "at", "xxhash64(m, i, substring(line, place + 1, size)) AS key")
 
 
-def key(length: Column, i: int, text: Column) -> Column:
-    return F.xxhash64(length, F.lit(i), text)
+def index_moves(tau: int) -> list[tuple[int, int, int]]:
+    return [(0, i, 0) for i in range(tau + 1)]
 
 
-def index_keys(tau: int) -> Column:
-    n = F.col("n")
-    cuts = [segment(n, i, tau) for i in range(tau + 1)]
-    return F.array(*(key(n, i, F.col("line").substr(at + 1, size)) for i, (at, size) in enumerate(cuts)))
+def probe_moves(tau: int) -> list[tuple[int, int, int]]:
+    """Where a segment of a line no longer than this one can lie: multi-match-aware ranges."""
+    return [(d, i, m) for d in range(tau + 1) for i in range(tau + 1) for m in range(max(-i, d - (tau - i)), min(i, d + (tau - i)) + 1)]
 
 
-def probe_keys(tau: int) -> Column:
-    """Keys of the substrings that can be a segment of a line that is no longer than this one."""
-    out = []
-    for delta in range(tau + 1):
-        n = (F.col("n") - delta).cast("int")
-        for i in range(tau + 1):
-            at, size = segment(n, i, tau)
-            for move in range(max(-i, delta - (tau - i)), min(i, delta + (tau - i)) + 1):
-                place = at + move
-                fits = (place >= 0) & (place + size <= F.col("n"))
-                out.append(F.when(fits, key(n, i, F.col("line").substr(place + 1, size))))
-    return F.array(*out)
+def once(value: Column) -> Column:
+    """A value that later expressions read and don't compute again: a generator stands between."""
+    return F.explode(F.array(value))
 
 
 def near(line: Column, other: Column, tau: int) -> Column:
@@ -67,29 +62,31 @@ def dedup_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, car
     """
     rest = docs
     docs = keyed(docs)
-    dealt = docs.repartition("k")
+    dealt = docs.select("k", "text").repartition("k")
+    ids = docs.select("k", "did").distinct()
     split = F.split("text", "\n", -1)
     places = docs.select("k", "did", F.posexplode(split).alias("at", "line"))
     places = places.select("k", "did", "at", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"), (F.char_length("line") >= min_chars).alias("long"))
     first = places.where("long").groupBy("h1", "h2").agg(F.min(F.struct("did", "k", "at")).alias("first"), F.count("*").alias("n"))
     first = durable(first.select("h1", "h2", "n", "first.did", "first.k", "first.at"))
 
-    # the distinct lines, read where they first stand
-    here = dealt.join(first.groupBy("k").agg(F.array_sort(F.collect_list("at")).alias("ats")), "k").withColumn("lines", split)
-    lines = here.select("k", "did", F.explode(F.transform("ats", lambda a: F.struct(a.alias("at"), F.get("lines", a).alias("line")))).alias("l"))
-    lines = lines.select("k", "did", "l.at", "l.line", F.char_length("l.line").alias("n"))
-    index = lines.select("k", "did", "at", "n", F.explode(index_keys(tau)).alias("key"))
-    probe = lines.select(F.col("k").alias("k2"), F.col("did").alias("did2"), F.col("at").alias("at2"), F.col("n").alias("n2"), F.explode(probe_keys(tau)).alias("key")).where("key IS NOT NULL")
-    a, b = F.struct("did", "k", "at"), F.struct("did2", "k2", "at2")
-    # of equal lengths each pair is met from both sides: one is enough
-    pairs = index.join(probe, "key").where((F.col("n") < F.col("n2")) | (a < b)).select("k", "at", "k2", "at2").distinct()
-    pairs = durable(pairs)
-    # every use of `dealt` reads the same columns, so that one exchange serves all
+    # the distinct lines, read where they first stand; every use of `dealt` reads the same columns
+    # in one query, so that one exchange of the texts serves all
+    ats = first.groupBy("k").agg(F.collect_list("at").alias("ats"))
+    here = dealt.join(ats.hint("shuffle_hash"), "k").select("k", "ats", once(split).alias("lines"))
+    lines = here.select("k", F.explode(F.transform("ats", lambda a: F.struct(a.alias("at"), F.get("lines", a).alias("line")))).alias("l"))
+    lines = lines.select("k", "l.at", "l.line", F.char_length("l.line").alias("n"))
+    index = keys(lines, index_moves(tau), tau)
+    probe = keys(lines, probe_moves(tau), tau).withColumnsRenamed({"k": "k2", "at": "at2"})
+    a, b = F.struct("k", "at"), F.struct(F.col("k2").alias("k"), F.col("at2").alias("at"))
+    pairs = index.join(probe, "key").where(a != b).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+    pairs = pairs.select(F.col("a.k").alias("k"), F.col("a.at").alias("at"), F.col("b.k").alias("k2"), F.col("b.at").alias("at2"))
     pairs = pairs.join(dealt, "k").withColumn("line", F.get(split, F.col("at"))).drop("text")
-    pairs = pairs.join(dealt.withColumnsRenamed({"k": "k2", "did": "did2"}), "k2").withColumn("line2", F.get(split, F.col("at2"))).drop("text")
-    found = pairs.where(near(F.col("line"), F.col("line2"), tau))
-    later = F.when(a < b, F.struct(F.col("k2").alias("k"), F.col("at2").alias("at"))).otherwise(F.struct("k", "at"))
-    late = found.select(later.alias("l")).select("l.k", "l.at", F.lit(True).alias("late")).distinct()
+    pairs = pairs.join(dealt.withColumnRenamed("k", "k2"), "k2").withColumn("line2", F.get(split, F.col("at2"))).drop("text")
+    found = pairs.where(near(F.col("line"), F.col("line2"), tau)).select("k", "at", "k2", "at2")
+    found = found.join(ids, "k").join(ids.withColumnsRenamed({"k": "k2", "did": "did2"}), "k2")
+    a, b = F.struct("did", "k", "at"), F.struct(F.col("did2").alias("did"), F.col("k2").alias("k"), F.col("at2").alias("at"))
+    late = found.select(F.greatest(a, b).alias("l")).select("l.k", "l.at", F.lit(True).alias("late")).distinct()
 
     verdict = first.join(late, ["k", "at"], "left").where("n > 1 OR late")
     verdict = verdict.select("h1", "h2", F.col("k").alias("fk"), F.col("at").alias("fat"), F.coalesce("late", F.lit(False)).alias("late"))
@@ -97,7 +94,8 @@ def dedup_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, car
     gone = F.col("long") & F.col("late").isNotNull() & (F.col("late") | (F.col("k") != F.col("fk")) | (F.col("at") != F.col("fat")))
     judged = judged.select("k", F.struct("at", F.coalesce(gone, F.lit(False)).alias("gone")).alias("flag"))
     flags = judged.groupBy("k").agg(F.array_sort(F.collect_set("flag")).alias("flags"), F.max("flag.gone").alias("some")).where("some")
-    out = dealt.join(flags.select("k", "flags"), "k", "left").withColumn("lines", split)
+    out = dealt.join(flags.select("k", "flags").hint("shuffle_hash"), "k", "left").select("k", "text", "flags", once(split).alias("lines"))
+    out = out.join(ids.hint("shuffle_hash"), "k")
     if carry:
         out = out.join(rest.select(F.col("doc_id").cast("long").alias("k"), *carry), "k", "left")
     kept = F.filter(F.zip_with("lines", "flags", lambda x, f: F.when(~f["gone"], x)), lambda x: x.isNotNull())
