@@ -49,7 +49,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def line_edit_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes out lines that stand, equal or nearly so, earlier in the corpus."""
-    out = line_dedup.dedup_lines(numbered(docs), carry=("own", "lang", "source"))
+    out = line_dedup.dedup_lines(numbered(docs), carry=("own", "lang", "source"), min_copy=1)
     return restored(out, F.col("text"))
 
 

@@ -6,7 +6,8 @@ one of them as a substring at a place that its length and the segment's number b
 probes an index keyed by (length, number, segment).  Candidates are verified by edit distance.
 
 A line goes if it, or a line within TAU edits of it, stands earlier (by doc_id, then line
-number).  Lines of fewer than MIN_CHARS characters stay.
+number).  Lines of fewer than min_chars characters are not compared by edits; equal ones are
+counted from min_copy characters on, so with min_copy = 1 every copy of a line that is not empty goes.
 
 Defined cases: null text is the empty text; an empty table gives no rows; null ids order last;
 rows that repeat both id and text are one document and keep the same lines; rows that share an
@@ -55,10 +56,11 @@ def near(line: Column, other: Column, tau: int) -> Column:
     return F.levenshtein(line, other, tau) >= 0
 
 
-def dedup_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, carry: tuple[str, ...] = ()) -> DataFrame:
+def dedup_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, carry: tuple[str, ...] = (), min_copy: int = MIN_CHARS) -> DataFrame:
     """(doc_id, n_lines, n_removed, text): documents without the lines that stand earlier.
 
-    Where ids are unique, columns named in carry follow.
+    Lines of min_copy characters go where equal ones stand earlier, those of min_chars (no less than
+    min_copy) also where near ones do.  Where ids are unique, columns named in carry follow.
     """
     rest = docs
     docs = keyed(docs)
@@ -66,13 +68,14 @@ def dedup_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, car
     ids = docs.select("k", "did").distinct()
     split = F.split("text", "\n", -1)
     places = docs.select("k", "did", F.posexplode(split).alias("at", "line"))
-    places = places.select("k", "did", "at", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"), (F.char_length("line") >= min_chars).alias("long"))
-    first = places.where("long").groupBy("h1", "h2").agg(F.min(F.struct("did", "k", "at")).alias("first"), F.count("*").alias("n"))
-    first = durable(first.select("h1", "h2", "n", "first.did", "first.k", "first.at"))
+    size = F.char_length("line")
+    places = places.select("k", "did", "at", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"), (size >= min_copy).alias("counted"), (size >= min_chars).alias("long"))
+    first = places.where("counted").groupBy("h1", "h2").agg(F.min(F.struct("did", "k", "at", "long")).alias("first"), F.count("*").alias("n"))
+    first = durable(first.select("h1", "h2", "n", "first.did", "first.k", "first.at", "first.long"))
 
-    # the distinct lines, read where they first stand; every use of `dealt` reads the same columns
+    # the distinct long lines, read where they first stand; every use of `dealt` reads the same columns
     # in one query, so that one exchange of the texts serves all
-    ats = first.groupBy("k").agg(F.collect_list("at").alias("ats"))
+    ats = first.where("long").groupBy("k").agg(F.collect_list("at").alias("ats"))
     here = dealt.join(ats.hint("shuffle_hash"), "k").select("k", "ats", once(split).alias("lines"))
     lines = here.select("k", F.explode(F.transform("ats", lambda a: F.struct(a.alias("at"), F.get("lines", a).alias("line")))).alias("l"))
     lines = lines.select("k", "l.at", "l.line", F.char_length("l.line").alias("n"))
@@ -91,7 +94,7 @@ def dedup_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, car
     verdict = first.join(late, ["k", "at"], "left").where("n > 1 OR late")
     verdict = verdict.select("h1", "h2", F.col("k").alias("fk"), F.col("at").alias("fat"), F.coalesce("late", F.lit(False)).alias("late"))
     judged = places.join(verdict, ["h1", "h2"], "left")
-    gone = F.col("long") & F.col("late").isNotNull() & (F.col("late") | (F.col("k") != F.col("fk")) | (F.col("at") != F.col("fat")))
+    gone = F.col("counted") & F.col("late").isNotNull() & (F.col("late") | (F.col("k") != F.col("fk")) | (F.col("at") != F.col("fat")))
     judged = judged.select("k", F.struct("at", F.coalesce(gone, F.lit(False)).alias("gone")).alias("flag"))
     flags = judged.groupBy("k").agg(F.array_sort(F.collect_set("flag")).alias("flags"), F.max("flag.gone").alias("some")).where("some")
     out = dealt.join(flags.select("k", "flags").hint("shuffle_hash"), "k", "left").select("k", "text", "flags", once(split).alias("lines"))

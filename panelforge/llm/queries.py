@@ -59,7 +59,7 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelforge.llm import line_dedup
 
-    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"), min_copy=1).select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

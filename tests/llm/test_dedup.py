@@ -1,10 +1,11 @@
 import collections
+import hashlib
 import re
 
 import numpy as np
 import pytest
 
-from panelforge.llm import anchors, line_dedup, ngram_join, phrases, substrings
+from panelforge.llm import anchors, line_dedup, ngram_join, phrases, queries, substrings
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {i: i + 32 for i in range(65, 91)}
@@ -173,6 +174,18 @@ def test_lines(documents):
     assert sorted((order(r.doc_id), r.n_lines, r.n_removed, r.text) for r in got) == brute_lines(rows)
 
 
+def test_short_copies_go_in_query_and_pipeline(spark, documents, tmp_path):
+    long = "the quick brown fox jumps over the lazy dog"
+    docs = documents([(1, f"Les.\n\nLes.\n{long}"), (2, f"a\nLes.\nLet.\n\n{long}s"), (3, f"a\n{long}\n"), (4, "Nt onor. The of it.\nNt onor. The of it"), (5, "Nt onor. The of it.")])
+    kept = {1: f"Les.\n\n{long}", 2: "a\nLet.\n", 3: "", 4: "Nt onor. The of it.\nNt onor. The of it", 5: ""}
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op6_line_dedup(spark, str(tmp_path)).collect()
+    assert {r.doc_id: r.kept_sha256 for r in got} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in kept.items()}
+    assert {r.doc_id: r.n_removed for r in got} == {1: 1, 2: 2, 3: 2, 4: 0, 5: 1}
+    staged = dict(pytest.importorskip("corpus_pipeline").STAGES)["line dedup"](spark, docs, str(tmp_path)).collect()
+    assert {r.doc_id: r.text for r in staged} == kept
+
+
 def test_line_join_finds_every_pair(documents):
     r = np.random.default_rng(3)
     rows = []
