@@ -107,19 +107,37 @@ def bootstrap(df: DataFrame, value: str, statistic=np.mean, rounds: int = 1000,
     return rows.groupBy("b").applyInPandas(run, "estimate double, low double, high double").agg(F.avg("estimate").alias("estimate"), F.avg("low").alias("low"), F.avg("high").alias("high"))
 
 
-def adjust_p(df: DataFrame, p: str = "p", method: str = "bh") -> DataFrame:
-    """p_adjusted by Bonferroni, Holm or Benjamini-Hochberg."""
-    n = df.agg(F.count(p).alias("_m"))
-    x = df.join(F.broadcast(n)).withColumn("_r", F.row_number().over(W.orderBy(p)))
+def adjust_p(df: DataFrame, p: str = "p", method: str = "bh", blocks: int = 64) -> DataFrame:
+    """p_adjusted by Bonferroni, Holm or Benjamini-Hochberg; null where p is null, which counts as no test.
+
+    Ranks come from counts by distinct value.  The values are dealt in order to `blocks` ranges, and
+    only one row a range is summed over all of them, so no task holds the whole column.
+    """
+    if method not in ("bonferroni", "holm", "bh"):
+        raise ValueError(f"unknown method {method!r}")
+    v = F.col("_p")
+    bounds = df.select(F.col(p).cast("double").alias("_p")).approxQuantile("_p", [i / blocks for i in range(1, blocks)], 0.001)
+    block = F.size(F.filter(F.array(*map(F.lit, sorted(set(bounds)))), lambda b: b <= v.cast("double"))) if bounds else F.lit(0)
+    c = df.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("_p")).agg(F.count("*").alias("_n")).withColumn("_b", block)
+
+    every, rows = W.orderBy("_b"), (W.unboundedPreceding, W.unboundedFollowing)
+    sums = c.groupBy("_b").agg(F.sum("_n").alias("_n"))
+    sums = sums.select("_b", F.sum("_n").over(every.rowsBetween(*rows)).alias("_m"), F.coalesce(F.sum("_n").over(every.rowsBetween(rows[0], -1)), F.lit(0)).alias("_before"))
+    own = W.partitionBy("_b").orderBy("_p")
+    c = c.join(F.broadcast(sums), "_b").withColumn("_r", F.col("_before") + F.sum("_n").over(own.rowsBetween(rows[0], 0)))
     if method == "bonferroni":
-        v = F.col(p) * F.col("_m")
-    elif method == "holm":
-        v = F.max(F.col(p) * (F.col("_m") - F.col("_r") + 1)).over(W.orderBy("_r").rowsBetween(W.unboundedPreceding, 0))
-    elif method == "bh":
-        v = F.min(F.col(p) * F.col("_m") / F.col("_r")).over(W.orderBy(F.desc("_r")).rowsBetween(W.unboundedPreceding, 0))
+        c = c.withColumn("_v", v * F.col("_m"))
     else:
-        raise ValueError(f"unknown method {method!r}")
-    return x.withColumn("p_adjusted", F.least(F.lit(1.0), v)).drop("_m", "_r")
+        # equal p-values take the value of their first rank (Holm) or of their last (Benjamini-Hochberg)
+        holm = method == "holm"
+        c = c.withColumn("_v", v * (F.col("_m") - F.col("_r") + F.col("_n")) if holm else v * F.col("_m") / F.col("_r"))
+        best, pick = (F.max, F.greatest) if holm else (F.min, F.least)
+        ends = c.groupBy("_b").agg(best("_v").alias("_v"))
+        ends = ends.select("_b", best("_v").over(every.rowsBetween(rows[0], -1) if holm else every.rowsBetween(1, rows[1])).alias("_others"))
+        c = c.withColumn("_v", best("_v").over(own.rowsBetween(rows[0], 0) if holm else own.rowsBetween(0, rows[1])))
+        c = c.join(F.broadcast(ends), "_b").withColumn("_v", pick("_v", "_others"))
+    c = c.select("_p", F.least(F.lit(1.0), "_v").alias("p_adjusted"))
+    return df.join(c, F.col(p) == v, "left").drop("_p")
 
 
 def characterise(df: DataFrame, value: str, bins: int = 20) -> dict:

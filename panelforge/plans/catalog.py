@@ -1147,6 +1147,14 @@ def bh_adjust(spark, sf):
     return rounded(statistics.adjust_p(p), "p", "p_adjusted")
 
 
+@query("""WITH p AS (SELECT o_orderkey AS k, (o_orderkey % 97 + 1) / 1000.0 AS p FROM orders), r AS (SELECT *, row_number() OVER (ORDER BY p, k) AS r, count(*) OVER () AS m FROM p)
+SELECT k, round(p, 6) AS p, round(least(1, min(p * m / r) OVER (ORDER BY r DESC)), 6) AS p_adjusted FROM r""")
+def bh_adjust_all(spark, sf):
+    """bh_adjust over every order."""
+    p = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), ((F.col("o_orderkey") % 97 + 1) / 1000.0).cast("double").alias("p"))
+    return rounded(statistics.adjust_p(p), "p", "p_adjusted")
+
+
 @query("""WITH g AS (SELECT 'o_orderstatus' AS dimension, o_orderstatus AS g, o_totalprice AS v FROM orders UNION ALL SELECT 'o_orderpriority', o_orderpriority, o_totalprice FROM orders), a AS (SELECT dimension, g, count(*) AS n, avg(v) AS m FROM g GROUP BY 1, 2 HAVING count(*) >= 2),
 t AS (SELECT dimension, avg(v) AS gm, sum((v - (SELECT avg(o_totalprice) FROM orders)) ** 2) AS sst, count(*) AS n FROM g GROUP BY 1), b AS (SELECT a.dimension, sum(a.n * (m - gm) ** 2) AS ssb, count(*) AS k FROM a JOIN t USING (dimension) GROUP BY 1)
 SELECT dimension, round(ssb / sst, 6) AS eta2, round((ssb / (k - 1)) / ((sst - ssb) / (n - k)), 4) AS f, k AS n_groups FROM b JOIN t USING (dimension)""")

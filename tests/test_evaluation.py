@@ -1,4 +1,5 @@
 import datetime as dt
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 from panelforge.functions import distributions as D
 from panelforge.functions.metrics import metric_set, normal_cdf
 from panelforge.operators import causal, evaluation, hierarchy, mapping, profiling, statistics, validation
-from panelforge.plans import backtest, models
+from panelforge.plans import backtest, catalog, models
 from panelforge.plans.pipeline import Config, run_backtest, run_forecast
 from panelforge.sources import readers, stores
 
@@ -162,6 +163,42 @@ def test_statistics_on_known_values(spark):
     assert b.low <= 3.5 <= b.high
 
 
+def adjusted(values, method):
+    """The plain step-up and step-down procedures over a list."""
+    order, n, out = sorted(range(len(values)), key=values.__getitem__), len(values), {}
+    if method == "bh":
+        least = 1.0
+        for r in range(n, 0, -1):
+            least = min(least, values[order[r - 1]] * n / r)
+            out[order[r - 1]] = least
+    else:
+        most = 0.0
+        for r in range(1, n + 1):
+            most = max(most, values[order[r - 1]] * (n - r + 1)) if method == "holm" else values[order[r - 1]] * n
+            out[order[r - 1]] = min(1.0, most)
+    return [out[i] for i in range(n)]
+
+
+@pytest.mark.parametrize("method", ["bonferroni", "holm", "bh"])
+def test_adjusted_p_with_ties_nulls_and_many_values(spark, method):
+    values = [((i * 7919) % 1000 + 1) ** 2 / 1e7 if i % 3 else 0.002 for i in range(3000)]
+    rows = [(i, v) for i, v in enumerate(values)] + [(-1, None), (-2, None)]
+    out = statistics.adjust_p(spark.createDataFrame(rows, "i int, p double"), method=method)
+    got = {r.i: r.p_adjusted for r in out.collect()}
+    assert len(got) == len(rows) and got[-1] is None and got[-2] is None
+    assert all(abs(got[i] - v) < 1e-12 for i, v in enumerate(adjusted(values, method)))
+    assert statistics.adjust_p(spark.createDataFrame([], "i int, p double"), method=method).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_every_order_is_adjusted(spark):
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    keys = [r.o_orderkey for r in orders.select("o_orderkey").collect()]
+    want = dict(zip(keys, adjusted([(k % 97 + 1) / 1000.0 for k in keys], "bh")))
+    got = {r.k: r.p_adjusted for r in catalog.QUERIES["bh_adjust_all"](spark, "/root/testdata/sf0.001").collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in keys)
+
+
 def test_elasticity_recovers_the_slope(spark):
     import math
 
