@@ -84,7 +84,7 @@ def chi_squared_p(df: DataFrame, a: str, b: str) -> dict:
 
 
 def bootstrap(df: DataFrame, value: str, statistic=np.mean, rounds: int = 1000, confidence: float = 0.95, seed: int = 7, blocks: int = 64) -> DataFrame:
-    """(estimate, low, high) by a bag of little bootstraps: each block of rows is resampled to full size.
+    """(estimate, low, high) by a bag of little bootstraps: each block of rows is resampled to full size `rounds` times.
 
     Blocks hold their rows' values only, and their number grows with the rows.
     """
@@ -96,7 +96,7 @@ def bootstrap(df: DataFrame, value: str, statistic=np.mean, rounds: int = 1000,
         rng = np.random.default_rng(seed + int(pdf["b"].iloc[0]))
         v = pdf["v"].to_numpy()
         made = []
-        for _ in range(max(20, rounds // 10)):
+        for _ in range(rounds):
             pick = rng.multinomial(n, np.full(len(v), 1 / len(v)))
             made.append(statistic(np.repeat(v, pick)) if statistic is not np.mean else float(pick @ v / n))
         tail = (1 - confidence) / 2

@@ -163,6 +163,20 @@ def test_statistics_on_known_values(spark):
     assert b.low <= 3.5 <= b.high
 
 
+def test_bootstrap_runs_the_rounds_asked_for(spark, tmp_path):
+    log = str(tmp_path / "calls")
+
+    def counted(v):
+        with open(log, "a") as f:
+            f.write("x")
+        return float(v.mean())
+
+    df = spark.createDataFrame([(float(i),) for i in range(40)], "v double")
+    r = statistics.bootstrap(df, "v", statistic=counted, rounds=50).first()
+    assert r.low < r.estimate < r.high
+    assert os.path.getsize(log) == 50 + 1  # one block: its rounds and the estimate itself
+
+
 def adjusted(values, method):
     """The plain step-up and step-down procedures over a list."""
     order, n, out = sorted(range(len(values)), key=values.__getitem__), len(values), {}
