@@ -43,12 +43,15 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Co
 
 
 def targets(html: Column) -> Column:
-    """Targets of canonical links and of redirects in a page."""
-    link = F.regexp_extract(html, r"(?is)<link\s[^>]*?\brel\s*=\s*[\"']?\s*canonical\b[^>]*>", 0)
-    href = F.regexp_extract(link, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    meta = F.regexp_extract(html, r"(?is)<meta\s[^>]*?\bhttp-equiv\s*=\s*[\"']?\s*refresh\b[^>]*>", 0)
-    move = F.regexp_extract(meta, r"(?is)\burl\s*=\s*['\"]?([^\"'\s>]+)", 1)
-    return F.array_distinct(F.array(F.when(F.contains(F.lower(html), F.lit("canonical")), href), F.when(F.contains(F.lower(html), F.lit("http-equiv")), move)))
+    """Targets of all canonical links and of all redirects in a page; tags in comments count too."""
+
+    def found(word: str, tag: str, target: str) -> Column:
+        tags = F.regexp_extract_all(html, F.lit(tag), F.lit(0))
+        return F.when(F.contains(F.lower(html), F.lit(word)), F.transform(tags, lambda t: F.regexp_extract(t, target, 1))).otherwise(F.array().cast("array<string>"))
+
+    links = found("canonical", r"(?is)<link\s[^>]*?\brel\s*=\s*[\"']?\s*canonical\b[^>]*>", r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)")
+    moves = found("http-equiv", r"(?is)<meta\s[^>]*?\bhttp-equiv\s*=\s*[\"']?\s*refresh\b[^>]*>", r"(?is)\burl\s*=\s*['\"]?([^\"'\s>]+)")
+    return F.array_distinct(F.concat(links, moves))
 
 
 def resolved(target: Column, url: Column) -> Column:

@@ -46,6 +46,21 @@ def test_rules(spark):
     assert judge(spark, []) == {}
 
 
+def test_every_link_of_a_page_is_an_edge(spark):
+    link, move = '<link rel="canonical" href="{}">', '<meta http-equiv="refresh" content="0; url={}">'
+    bad = "http://x.net/fr/{}"
+    rows = [
+        (1, "http://a.org/1", link.format("http://ok.org/1") + link.format(bad.format(1))),
+        (2, "http://a.org/2", move.format("http://ok.org/2") + "<p>" + move.format(bad.format(2))),
+        (3, "http://a.org/3", '<link rel="canonical">\n' + link.format(bad.format(3))),
+        (4, "http://a.org/4", f"<!-- {link.format('http://ok.org/4')} -->" + link.format(bad.format(4))),
+        (5, "http://a.org/5", link.format("http://ok.org/5") + link.format("http://ok.org/6")),
+        (6, "http://ok.org/1", None),
+        (7, "http://ok.org/5", None),
+    ]
+    assert {i: v[3] for i, v in judge(spark, rows).items()} == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow", 6: "block", 7: "allow"}
+
+
 def test_aliases_take_blocks_and_keep_allows(spark):
     canonical = '<html><LINK href="{}" rel="canonical"></html>'
     refresh = "<meta http-equiv='refresh' content='0; url={}'>"
