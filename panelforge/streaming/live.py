@@ -6,8 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def event_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+def event_stream(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
+    """A stream of Parquet files; all files at hand are one batch unless files_per_trigger says otherwise.
+
+    With several batches the watermark moves between them, so files that are not listed in event
+    order can hold rows that are late by then: give `delay` the files' disorder in that case.
+    """
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).parquet(path)
 
 
 def late(events: DataFrame, time: str, delay: str) -> DataFrame:
@@ -35,7 +41,12 @@ def deduplicated(events: DataFrame, keys: list[str], delay: str = "1 hour", time
     return events.dropDuplicates(keys)
 
 
-def append_panel(events: DataFrame, path: str, checkpoint: str, size: str = "1 day"):
+def append_panel(events: DataFrame, path: str, checkpoint: str, size: str = "1 day", delay: str = "1 hour"):
     """Closed windows go to a panel folder once; the query ends when the input at hand is read."""
-    out = tumbling(events, size).select(F.col("event_type").alias("series_id"), F.col("window_start").cast("date").alias("week"), F.col("n").cast("double").alias("quantity"))
+    out = tumbling(events, size, delay).select(F.col("event_type").alias("series_id"), F.col("window_start").cast("date").alias("week"), F.col("n").cast("double").alias("quantity"))
     return out.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def late_rows(query) -> int:
+    """Rows (partial sums where they were summed before) that a query left out as later than its watermark."""
+    return sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"])

@@ -261,11 +261,28 @@ def test_drivers_run_end_to_end(spark, tmp_path):
     assert out.count() == 39 and out.where("forecast_p10 > forecast_p90").count() == 0
 
 
-def test_stream_writes_closed_windows(spark, tmp_path):
+@pytest.mark.parametrize("files", [None, 1])
+def test_stream_writes_closed_windows(spark, tmp_path, files):
     from panelforge.streaming import live
 
     rows = [(dt.datetime(2024, 1, 1 + i // 24, i % 24), "x", 1.0) for i in range(72)]
     spark.createDataFrame(rows, "ts timestamp, event_type string, value double").write.parquet(str(tmp_path / "in"))
-    stream = live.event_stream(spark, str(tmp_path / "in"), "ts timestamp, event_type string, value double")
-    live.append_panel(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    assert {r.quantity for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {24.0}
+    stream = live.event_stream(spark, str(tmp_path / "in"), "ts timestamp, event_type string, value double", files)
+    # files come in any order: one at a time they need a delay that covers it
+    query = live.append_panel(stream, str(tmp_path / "out"), str(tmp_path / "cp"), delay="1 hour" if files is None else "4 days")
+    query.awaitTermination()
+    got = [(str(r.week), r.quantity) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert sorted(got) == ([("2024-01-01", 24.0), ("2024-01-02", 24.0)] if files is None else [])
+    assert live.late_rows(query) == 0
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    from panelforge.streaming import live
+
+    schema = "ts timestamp, event_type string, value double"
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for day in (5, 1):  # the second run's rows are older than the first run's watermark
+        spark.createDataFrame([(dt.datetime(2024, 1, day, 12), "x", 1.0)], schema).coalesce(1).write.mode("append").parquet(source)
+        query = live.append_panel(live.event_stream(spark, source, schema), out, str(tmp_path / "cp"))
+        query.awaitTermination()
+    assert live.late_rows(query) == 1
