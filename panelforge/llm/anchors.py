@@ -91,10 +91,11 @@ def runs(docs: DataFrame, units) -> DataFrame:
     return docs.select("k", "did", "text").mapInArrow(run, RUN)
 
 
-def groups_that(batches, confirmed, key="a"):
+def groups_that(batches, confirmed, key="a", alike=False):
     """From batches sorted by key, the rows of groups that `confirmed(batch, starts)` accepts.
 
-    A group is held back only until it is confirmed, so a group of any size passes through.
+    A group is held back only until it is confirmed, so a group of any size passes through.  With
+    alike, rows of a group not yet confirmed tell nothing beyond its first, which alone is held.
     """
     held, last, sure = None, None, False
     for batch in batches:
@@ -110,7 +111,7 @@ def groups_that(batches, confirmed, key="a"):
         held, last, sure = None, a[-1], bool(ok[-1])
         keep = np.repeat(ok, np.diff(np.append(starts, len(a))))
         if not sure:
-            held = batch.slice(int(starts[-1]))
+            held = batch.slice(int(starts[-1]), 1 if alike else None)
             keep = keep[: int(starts[-1])]
             batch = batch.slice(0, int(starts[-1]))
         if keep.any():

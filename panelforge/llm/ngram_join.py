@@ -2,9 +2,9 @@
 
 Equal sets are one node, and nodes with the same size and the same prefix one group, so copies
 meet nothing twice.  In each shingle's bucket groups first meet only a leader; verified, that
-joins nearly all that belongs together at linear cost.  Then the buckets are read again, and
-only groups of different components make pairs, which a bound on their overlap prunes before
-members are expanded and verified.  Shingles found frequent anywhere order last, so prefixes
+joins nearly all that belongs together at linear cost.  Then the buckets that groups of different
+components share are read again, and only such groups make pairs, which position, size and a
+sketch of each set prune before members are expanded and verified.  Shingles found frequent anywhere order last, so prefixes
 hold rare ones.  Which are frequent affects speed only: any order gives the same links.
 
 Defined cases: null text, or no word: an empty set linked with nothing; fewer than five words:
@@ -27,6 +27,7 @@ WORDS = 5
 _U = np.uint64
 HOT_BIT = _U(1 << 63)
 HOT_LIMIT, HOT_COUNT, BLOCK = 200_000, 32, 1 << 22
+TURNS = 3  # rounds of leaders after the first
 
 
 def shingles(t: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -90,17 +91,16 @@ def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def described(h, first, percent):
-    """Per document: size, set hash, group (of equal size and prefix), cold part of the prefix."""
+    """Per document: size, length of the prefix, set hash, group (of equal size and prefix)."""
     n = np.diff(first)
     p = np.minimum(prefix_length(n, percent), n)
     ph = PrefixHash(mix(h), WORD_POWERS)
     sig = mix(ph.slices(first[:-1], first[1:]) + mix(n.astype(np.uint64)))
     group = mix(ph.slices(first[:-1], first[:-1] + p) + mix(n.astype(np.uint64) + _U(1)))
-    cold = np.concatenate([[0], np.cumsum(h < HOT_BIT)])
-    return n, p, sig.view(np.int64), group.view(np.int64), cold[first[:-1] + p] - cold[first[:-1]]
+    return n, p, sig.view(np.int64), group.view(np.int64)
 
 
-RANGES, SKETCH_LIMIT = 64, 4000
+RANGES, SKETCH_LIMIT = 256, 16_000
 
 
 def sketches(h, first) -> pa.Array:
@@ -122,18 +122,18 @@ NO_SKETCH = b"\xff" * RANGES
 
 
 def nodes(docs: DataFrame, hot, percent: int) -> DataFrame:
-    """(k, did, n, sig, g, cold, sk) of each document."""
+    """(k, did, n, sig, g, sk) of each document."""
 
     def run(batches):
         table = hot.value
         for batch in batches:
             for part in text_chunks(batch):
                 h, first = ordered_sets(Texts(part.column("text")), table)
-                n, _, sig, group, cold = described(h, first, percent)
-                cols = [part.column("k"), part.column("did"), pa.array(n), pa.array(sig), pa.array(group), pa.array(cold), sketches(h, first)]
-                yield pa.RecordBatch.from_arrays(cols, ["k", "did", "n", "sig", "g", "cold", "sk"])
+                n, _, sig, group = described(h, first, percent)
+                cols = [part.column("k"), part.column("did"), pa.array(n), pa.array(sig), pa.array(group), sketches(h, first)]
+                yield pa.RecordBatch.from_arrays(cols, ["k", "did", "n", "sig", "g", "sk"])
 
-    return docs.mapInArrow(run, "k long, did long, n long, sig long, g long, cold long, sk binary")
+    return docs.mapInArrow(run, "k long, did long, n long, sig long, g long, sk binary")
 
 
 def prefixes(docs: DataFrame, hot, percent: int) -> DataFrame:
@@ -144,7 +144,7 @@ def prefixes(docs: DataFrame, hot, percent: int) -> DataFrame:
         for batch in batches:
             for part in text_chunks(batch):
                 h, first = ordered_sets(Texts(part.column("text")), table)
-                n, p, _, group, _ = described(h, first, percent)
+                n, p, _, group = described(h, first, percent)
                 _, one = np.unique(group, return_index=True)  # copies within the batch
                 one = one[p[one] > 0]
                 count = p[one]
@@ -156,7 +156,7 @@ def prefixes(docs: DataFrame, hot, percent: int) -> DataFrame:
     return docs.mapInArrow(run, "tok long, g long, n int, pos int")
 
 
-PAIR = "x long, y long, nx int, ny int, hot boolean"
+PAIR = "x long, y long, nx int, ny int"
 
 
 def stars(percent: int):
@@ -190,8 +190,8 @@ def stars(percent: int):
             carry = (tok[leaders], g[leaders], n[leaders])
             x, y, nx, ny = (np.concatenate(v) for v in zip(*out, strict=True))
             if len(x):
-                cols = [pa.array(x), pa.array(y), pa.array(nx.astype(np.int32)), pa.array(ny.astype(np.int32)), pa.array(np.zeros(len(x), bool))]
-                yield pa.RecordBatch.from_arrays(cols, ["x", "y", "nx", "ny", "hot"])
+                cols = [pa.array(x), pa.array(y), pa.array(nx.astype(np.int32)), pa.array(ny.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(cols, ["x", "y", "nx", "ny"])
 
     return run
 
@@ -199,8 +199,9 @@ def stars(percent: int):
 def crossings(percent: int):
     """From rows sorted by (cell, n, g): pairs of groups of different components.
 
-    A rare shingle makes every pair of matching sizes; a frequent one only pairs that could
-    still link if it were their first common shingle.  A cell of two blocks pairs across them.
+    Two sets that link have a first common shingle, and at it both have room for the overlap they
+    need; so a pair is made only where there is that room and their sketches allow the overlap.
+    A cell of two blocks pairs across them.
     """
 
     def run(batches):
@@ -216,16 +217,13 @@ def crossings(percent: int):
             yield from emit(held)
 
     def emit(batch):
-        cell, tok, g, n, pos, c, block, two = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("cell", "tok", "g", "n", "pos", "c", "block", "two"))
+        cell, g, n, pos, c, block, two = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("cell", "g", "n", "pos", "c", "block", "two"))
         sk = Texts(batch.column("sk")).data.reshape(-1, RANGES)
         if not len(cell):
             return
         keep = np.ones(len(cell), bool)
         keep[1:] = (cell[1:] != cell[:-1]) | (g[1:] != g[:-1])
-        start = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
-        mixed = np.minimum.reduceat(c, start) != np.maximum.reduceat(c, start)
-        keep &= np.repeat(mixed, np.diff(np.append(start, len(cell))))
-        cell, tok, g, c, block, two, sk = (v[keep] for v in (cell, tok, g, c, block, two, sk))
+        cell, g, c, block, two, sk = (v[keep] for v in (cell, g, c, block, two, sk))
         n, pos = n[keep].astype(np.int64), pos[keep].astype(np.int64)
         live, step = np.arange(len(cell)), 1
         while len(live):
@@ -234,18 +232,16 @@ def crossings(percent: int):
             other = live + step
             near = (cell[live] == cell[other]) & (n[other] * percent <= n[live] * 100)
             live, other = live[near], other[near]
-            hot = tok[live] < 0
             need = -(-(n[live] + n[other]) * percent // (100 + percent))
             room = np.minimum(n[live] - pos[live], n[other] - pos[other])
-            go = (c[live] != c[other]) & (~hot | (room >= need)) & (~two[live] | (block[live] != block[other]))
-            for at in range(0, len(live), 1 << 16):  # the sketches' bound, in pieces of bounded size
-                some = np.flatnonzero(go[at : at + (1 << 16)]) + at
-                most = np.minimum(sk[live[some]], sk[other[some]]).sum(1, dtype=np.int64)
-                go[some[(most < need[some]) & (np.maximum(n[live[some]], n[other[some]]) <= SKETCH_LIMIT)]] = False
+            go = (c[live] != c[other]) & (room >= need) & (~two[live] | (block[live] != block[other]))
+            some = np.flatnonzero(go & (np.maximum(n[live], n[other]) <= SKETCH_LIMIT))
+            for at in range(0, len(some), 1 << 14):  # the sketches' bound, in pieces of bounded size
+                i = some[at : at + (1 << 14)]
+                most = np.minimum(sk[live[i]], sk[other[i]]).sum(1, dtype=np.int64)
+                go[i[most < need[i]]] = False
             if go.any():
-                a, b = live[go], other[go]
-                cols = [pa.array(g[a]), pa.array(g[b]), pa.array(n[a].astype(np.int32)), pa.array(n[b].astype(np.int32)), pa.array(hot[go])]
-                yield pa.RecordBatch.from_arrays(cols, ["x", "y", "nx", "ny", "hot"])
+                yield pa.RecordBatch.from_arrays([pa.array(g[live[go]]), pa.array(g[other[go]])], ["x", "y"])
             step += 1
 
     return run
@@ -254,19 +250,47 @@ def crossings(percent: int):
 CELL = 50_000
 
 
+def shared_by_components(rows: DataFrame, marked: DataFrame) -> DataFrame:
+    """Rows (tok, g, n, pos) with their component c and their bucket's size m, of the buckets that
+    groups of different components (g, c) share."""
+    dealt = rows.select("tok", "g", "n", "pos").join(marked.select("g", "c"), "g").repartition("tok")
+    mixed = dealt.groupBy("tok").agg(F.count("*").alias("m"), F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 < c2")
+    return dealt.join(mixed.select("tok", "m"), "tok").select("tok", "g", "n", "pos", "c", "m")
+
+
 def in_cells(rows: DataFrame) -> DataFrame:
     """Buckets of over CELL rows are cut into blocks, and each pair of blocks is a cell."""
-    big = rows.groupBy("tok").count().where(F.col("count") > CELL).select("tok", F.ceil(F.col("count") / CELL).cast("int").alias("blocks"))
-    rows = rows.join(big, "tok", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.withColumn("blocks", F.ceil(F.col("m") / CELL).cast("int"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("g"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return rows.select(
-        F.xxhash64("tok", F.least("block", "to"), F.greatest("block", "to")).alias("cell"), "tok", "g", "n", "pos", "c", "sk", "block", (F.col("block") != F.col("to")).alias("two")
-    )
+    return rows.select(F.xxhash64("tok", F.least("block", "to"), F.greatest("block", "to")).alias("cell"), "g", "n", "pos", "c", "block", (F.col("block") != F.col("to")).alias("two"))
+
+
+def plausible(pairs: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (x, y) of groups, those whose sketches (g, n, sk) allow the overlap they need."""
+
+    def run(batches):
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            nx, ny = (batch.column(c).to_numpy() for c in ("nx", "ny"))
+            need = -(-(nx + ny) * percent // (100 + percent))
+            for at in range(0, batch.num_rows, 1 << 14):
+                a, b = (Texts(batch.column(c).slice(at, 1 << 14)).data.reshape(-1, RANGES) for c in ("skx", "sky"))
+                keep[at : at + (1 << 14)] = np.minimum(a, b).sum(1, dtype=np.int64) >= need[at : at + (1 << 14)]
+            keep |= np.maximum(nx, ny) > SKETCH_LIMIT
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("x", "y")], ["x", "y"]).filter(pa.array(keep))
+
+    for side in "xy":
+        pairs = pairs.join(sketch.select(F.col("g").alias(side), F.col("n").alias("n" + side), F.col("sk").alias("sk" + side)), side)
+    return pairs.select("x", "y", "nx", "ny", "skx", "sky").mapInArrow(run, "x long, y long")
 
 
-def linked(dealt: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (u, v, ku, kv) of nodes and documents that hold them, those that link: (u, v)."""
+def linked(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (u, v, ku, kv) of nodes and documents that hold them, those that link: (u, v).
+
+    Only the texts of documents in a pair are dealt.
+    """
+    pairs = durable(pairs)
 
     def run(batches):
         for batch in batches:
@@ -286,7 +310,8 @@ def linked(dealt: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     def sets_of(column):
         return ordered_sets(Texts(column), np.zeros(0, np.uint64))
 
-    texts = dealt.select("k", "text")
+    named = pairs.select(F.col("ku").alias("k")).unionByName(pairs.select(F.col("kv").alias("k"))).distinct()
+    texts = docs.select("k", "text").join(named, "k", "left_semi").repartition("k")
     with_v = pairs.join(texts.withColumnsRenamed({"k": "kv", "text": "ty"}), "kv").select("u", "v", "ku", "ty")
     both = with_v.join(texts.withColumnsRenamed({"k": "ku", "text": "tx"}), "ku").select("u", "v", "tx", "ty")
     return both.mapInArrow(run, "u long, v long")
@@ -301,18 +326,17 @@ def ngram_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each document."""
     spark = docs.sparkSession
     docs = keyed(docs)
-    dealt = docs.select("k", "text").repartition("k")
     hot = spark.sparkContext.broadcast(frequent(docs))
     node = durable(nodes(docs, hot, percent))
     some = node.where("n > 0")
     # equal sets are one node; a group's lead is its node with the least id
-    sets = some.groupBy("sig", "g", "n").agg(F.min(F.struct("did", "k")).alias("at"), F.min("cold").alias("cold"), F.min("sk").alias("sk")).select("sig", "g", "n", "cold", "sk", "at.did", "at.k")
+    sets = some.groupBy("sig", "g", "n").agg(F.min(F.struct("did", "k")).alias("at"), F.min("sk").alias("sk")).select("sig", "g", "n", "sk", "at.did", "at.k")
     sets = durable(sets)
-    lead = sets.groupBy("g").agg(F.min(F.struct("did", "sig", "k")).alias("l"), F.min("cold").alias("cold")).select("g", "cold", F.col("l.sig").alias("sig"), F.col("l.k").alias("k"))
+    lead = sets.groupBy("g").agg(F.min(F.struct("did", "sig", "k")).alias("l")).select("g", F.col("l.sig").alias("sig"), F.col("l.k").alias("k"))
 
     # one shuffle of all prefixes keeps only the shingles that two groups share
     shared = prefixes(docs, hot, percent).repartition("tok").sortWithinPartitions("tok")
-    shared = durable(shared.mapInArrow(lambda batches: groups_that(batches, in_two_groups, "tok"), "tok long, g long, n int, pos int"))
+    shared = durable(shared.mapInArrow(lambda batches: groups_that(batches, in_two_groups, "tok", alike=True), "tok long, g long, n int, pos int"))
     # round 1: leaders only
     # smallest groups lead, and those in which the shingle stands first: a group of copies has its
     # source there, since what only a copy has orders before what all share
@@ -323,31 +347,43 @@ def ngram_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     need = F.expr(f"ceil((nx + ny) * {percent} / {100 + percent})")
     rest = F.expr(f"greatest(nx - (nx - ceil(nx * {percent} / 100) + 1), ny - (ny - ceil(ny * {percent} / 100) + 1))")
     best = met.where(F.col("c") >= need - rest).groupBy("y").agg(F.max(F.struct("c", "x")).alias("b")).select("y", F.col("b.x").alias("x"))
-    star = best.join(lead.select(F.col("g").alias("x"), F.col("sig").alias("u"), F.col("k").alias("ku")), "x")
+    # a group of several sets has no sketch that bounds each of them
+    sketch = sets.groupBy("g", "n").agg(F.count("*").alias("m"), F.min("sk").alias("sk")).select("g", "n", F.when(F.col("m") == 1, F.col("sk")).otherwise(F.lit(NO_SKETCH)).alias("sk"))
+    star = plausible(best, sketch, percent).join(lead.select(F.col("g").alias("x"), F.col("sig").alias("u"), F.col("k").alias("ku")), "x")
     star = star.join(sets.select(F.col("g").alias("y"), F.col("sig").alias("v"), F.col("k").alias("kv")), "y").select("u", "v", "ku", "kv")
     own = sets.join(lead.select("g", F.col("sig").alias("u"), F.col("k").alias("ku")), "g").where("sig <> u").select("u", F.col("sig").alias("v"), "ku", F.col("k").alias("kv"))
-    first = durable(linked(dealt, durable(star.unionByName(own)), percent))
-    label = components(first)
+    first = durable(linked(docs, star.unionByName(own), percent))
+    edges, shared_apart = first, shared
+    for turn in range(TURNS + 1):
+        label = components(edges)
+        marked = sets.select("sig", "g", "n", "k").join(label.select(F.col("node").alias("sig"), "root"), "sig", "left").withColumn("c", F.coalesce("root", "sig")).drop("root")
+        by_group = marked.groupBy("g").agg(F.min("c").alias("c"), F.max("c").alias("c2"))
+        # a group whose members lie apart is apart from every group, itself included
+        apart = F.col("c") != F.col("c2")
+        by_group = durable(by_group.select("g", F.when(apart, F.xxhash64("g")).otherwise(F.col("c")).alias("c"), apart.alias("apart")))
+        shared_apart = durable(shared_by_components(shared_apart, by_group))
+        if turn == TURNS or not shared_apart.limit(1).count():
+            break
+        # one more round of leaders, drawn anew: each component tries the group it meets most often
+        met = shared_apart.repartition("tok").sortWithinPartitions("tok", F.xxhash64("g", F.lit(turn)), "g").mapInArrow(stars(percent), PAIR)
+        met = met.groupBy("x", "y").agg(F.count("*").alias("m"))
+        for side in "xy":
+            met = met.join(by_group.select(F.col("g").alias(side), F.col("c").alias("c" + side)), side)
+        best = met.where("cx <> cy").groupBy("cy").agg(F.max(F.struct("m", "x", "y")).alias("b")).select("b.x", "b.y")
+        best = plausible(best, sketch, percent)
+        for side, u in (("x", "u"), ("y", "v")):
+            best = best.join(lead.select(F.col("g").alias(side), F.col("sig").alias(u), F.col("k").alias("k" + u)), side)
+        edges = durable(edges.unionByName(linked(docs, best.select("u", "v", "ku", "kv"), percent)))
 
     # round 2: what the leaders left apart
-    sets = sets.join(label.select(F.col("node").alias("sig"), "root"), "sig", "left").withColumn("c", F.coalesce("root", "sig")).drop("root")
-    by_group = sets.groupBy("g").agg(F.min("c").alias("c"), F.max("c").alias("c2"), F.min("cold").alias("cold"), F.min("sk").alias("sk"), F.count("*").alias("m"))
-    # a group whose members lie apart is apart from every group, itself included
-    by_group = by_group.select("g", "cold", F.when(F.col("c") == F.col("c2"), F.col("c")).otherwise(F.xxhash64("g")).alias("c"), (F.col("c") != F.col("c2")).alias("apart"), F.when(F.col("m") == 1, F.col("sk")).otherwise(F.lit(NO_SKETCH)).alias("sk"))
-    by_group = durable(by_group)
-    across = in_cells(shared.join(by_group.select("g", "c", "sk"), "g"))
-    across = across.repartition("cell").sortWithinPartitions("cell", "n", "g").mapInArrow(crossings(percent), PAIR)
-    across = across.groupBy("x", "y", "nx", "ny").agg(F.sum((~F.col("hot")).cast("long")).alias("c"), F.max("hot").alias("hot"))
-    for side in "xy":
-        across = across.join(by_group.select(F.col("g").alias(side), F.col("cold").alias("cold" + side)), side)
-    across = across.where(F.col("hot") | (F.col("c") >= need - F.greatest(F.col("nx") - F.col("coldx"), F.col("ny") - F.col("coldy"))))
-    across = across.select("x", "y").unionByName(by_group.where("apart").select(F.col("g").alias("x"), F.col("g").alias("y")))
+    across = in_cells(shared_apart).join(sketch.select("g", "sk"), "g")
+    across = across.repartition("cell").sortWithinPartitions("cell", "n", "g").mapInArrow(crossings(percent), "x long, y long").distinct()
+    across = across.unionByName(by_group.where("apart").select(F.col("g").alias("x"), F.col("g").alias("y")))
     for side, u in (("x", "u"), ("y", "v")):
-        across = across.join(sets.select(F.col("g").alias(side), F.col("sig").alias(u), F.col("k").alias("k" + u), F.col("c").alias("c" + u)), side)
-    second = linked(dealt, durable(across.where("cu <> cv AND u <> v").select("u", "v", "ku", "kv").distinct()), percent)
-    second = durable(second)
+        across = across.join(marked.select(F.col("g").alias(side), F.col("sig").alias(u), F.col("k").alias("k" + u), F.col("c").alias("c" + u)), side)
+    second = durable(linked(docs, across.where("cu <> cv AND u <> v").select("u", "v", "ku", "kv").distinct(), percent))
     if second.limit(1).count():
-        label = components(first.unionByName(second))
+        label = components(edges.unionByName(second))
 
     place = sets.select("sig", "did").join(label.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     least = place.groupBy("root").agg(F.min("did").alias("least"))

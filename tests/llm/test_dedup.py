@@ -125,6 +125,35 @@ def test_ngram_join(documents, odd_rows, monkeypatch, cell):
     assert sorted((order(r.doc_id), r.n_shingles, order(r.component_id)) for r in got) == brute_components(rows)
 
 
+def test_a_group_of_copies_is_held_as_one_row():
+    import pyarrow as pa
+
+    seen = []
+
+    def spy(batch, starts):
+        seen.append(batch.num_rows)
+        return ngram_join.in_two_groups(batch, starts)
+
+    same = [pa.RecordBatch.from_pydict({"tok": [7] * 1000, "g": [1] * 1000}) for _ in range(50)]
+    last = pa.RecordBatch.from_pydict({"tok": [7, 8], "g": [2, 3]})
+    got = list(anchors.groups_that(iter([*same, last]), spy, "tok", alike=True))
+    assert max(seen) <= 1001 and {g for b in got for g in b.column("g").to_pylist()} == {1, 2}
+
+
+def test_families_around_many_leaders(documents):
+    """A chain of near copies, of which no single one is near to all."""
+    r = np.random.default_rng(8)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for i in range(60):
+        t = list(base)
+        for j in r.integers(0, 120, 1 + i % 3):
+            t[j] = f"x{r.integers(0, 40)}"
+        rows.append((i, " ".join(t)))
+    got = ngram_join.ngram_components(documents(rows)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows)
+
+
 def edit(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
