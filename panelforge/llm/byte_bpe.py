@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from panelforge.llm.common import text_chunks
+from panelforge.llm.common import small_batches, text_chunks
 
 MEMO_UNITS, MEMO_CHARS = 200_000, 48
 #: The white space of the Unicode standard.
@@ -124,7 +124,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, offsets: bool = False, dec
                 yield pa.RecordBatch.from_arrays(cols, names)
 
     schema = "doc_id long, ids binary" + ", char_start array<int>, char_end array<int>" * offsets + ", bytes binary" * decoded
-    return docs.selectExpr("CAST(doc_id AS long) doc_id", "text").mapInArrow(run, schema)
+    return small_batches(docs).selectExpr("CAST(doc_id AS long) doc_id", "text").mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, ranks: str, pattern: str) -> DataFrame:

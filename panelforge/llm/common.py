@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,19 +12,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_ID = 2**63 - 1
-CHUNK_BYTES = 1 << 21  # text handled at once by the vectorised kernels
+CHUNK_BYTES = 1 << 19  # text handled at once by the vectorised kernels
+BATCH_BYTES = 4 << 20  # bytes of one Arrow batch between the JVM and Python
 _U = np.uint64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a folder of our own only where none is named."""
+    """The shared folder that the session names in spark.checkpoint.dir.
+
+    Only a local master, where driver and executors are one process, may go without: it gets a
+    temporary folder.  On a cluster a missing setting is an error, as no other folder is known to be shared.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="panelforge-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches are bounded in bytes, since texts have no bound in rows."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and reread it: lineage ends there, lost executors lose nothing."""
     path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
@@ -37,7 +51,7 @@ def keyed(docs: DataFrame) -> DataFrame:
     k is doc_id where ids are unique and not null, else a hash of id and text; then equal
     rows share k, and since they hold the same text they get the same result.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     odd = docs.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1").limit(1).count()
     k = F.xxhash64("doc_id", "text") if odd else F.col("doc_id")
     return docs.select(

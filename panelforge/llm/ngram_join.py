@@ -26,7 +26,7 @@ from panelforge.llm.components import components
 WORDS = 5
 _U = np.uint64
 HOT_BIT = _U(1 << 63)
-HOT_LIMIT, HOT_COUNT, BLOCK = 200_000, 32, 1 << 22
+HOT_LIMIT, HOT_COUNT, BLOCK = 200_000, 32, 1 << 21
 TURNS = 3  # rounds of leaders after the first
 
 

@@ -25,14 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import durable, text_chunks
+from panelforge.llm.common import durable, small_batches, text_chunks
 
 #: Precomposed Latin letters, which every normal form of composition keeps.
 LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0134-\u017e"
 LATIN = re.compile(f"[{LETTER}]+")
 WHITE = "\x20\x09-\x0d"
 WORDS = re.compile(f"(?<![^{WHITE}])[{LETTER}]+(?=[.,]?(?![^{WHITE}]))|[^{WHITE}]+")
-MEMO_WORDS, MEMO_CHARS = 250_000, 48
+MEMO_WORDS, MEMO_CHARS = 150_000, 48
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 BUCKET_ITEMS = 16384
 
@@ -108,7 +108,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
 
-    return docs.selectExpr("CAST(doc_id AS long) doc_id", "text").mapInArrow(run, PIECE + ", ids binary")
+    return small_batches(docs).selectExpr("CAST(doc_id AS long) doc_id", "text").mapInArrow(run, PIECE + ", ids binary")
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:

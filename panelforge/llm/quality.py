@@ -3,8 +3,8 @@
 Each passage (a window of bytes) is encoded as class and hashed-bigram frequencies; a
 small network turns it into a hidden vector, gated attention weighs the passages, and the
 weighted sum is scored.  Only document labels are learnt from.  The fit uses at most
-`sample` labelled documents (those with the smallest hash), whole; scoring reads every
-document whole.
+`sample` labelled documents of at most `most` passages together: in the order of a hash of
+their ids, those that still fit, whole; scoring reads every document whole.
 
 Defined cases: a null or empty text is one passage of zeros and gets its score; labels
 that are null count for nothing; without any label every score is 0.5, and with one class
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import Texts, text_chunks
+from panelforge.llm.common import Texts, small_batches, text_chunks
 
 PASSAGE, CLASSES, BIGRAMS, HIDDEN = 512, 64, 128, 24
 WIDTH = CLASSES + BIGRAMS
@@ -76,9 +76,12 @@ class Attention:
         self.mean, self.scale = mean, scale
         self.p = {"W": r.normal(0, len(mean) ** -0.5, (len(mean), k)), "b": np.zeros(k), "V": r.normal(0, k**-0.5, (k, k)), "G": r.normal(0, k**-0.5, (k, k)), "u": r.normal(0, k**-0.5, k), "c": r.normal(0, k**-0.5, k), "d": np.zeros(1)}
 
+    def standard(self, x):
+        return (x - self.mean.astype(x.dtype)) / self.scale.astype(x.dtype)
+
     def forward(self, x, first):
-        p = self.p
-        x = (x - self.mean) / self.scale
+        """Of standardised passages: hidden rows, both gates, weights, document vectors, scores."""
+        p = {k: v.astype(x.dtype, copy=False) for k, v in self.p.items()}
         h = np.tanh(x @ p["W"] + p["b"])
         t, g = np.tanh(h @ p["V"]), sigmoid(h @ p["G"])
         e = (t * g) @ p["u"]
@@ -86,31 +89,41 @@ class Attention:
         e = np.exp(e - np.repeat(np.maximum.reduceat(e, starts), lens))
         a = e / np.repeat(np.add.reduceat(e, starts), lens)
         z = np.add.reduceat(a[:, None] * h, starts)
-        return x, h, t, g, a, z, sigmoid(z @ p["c"] + p["d"])
+        return h, t, g, a, z, sigmoid(z @ p["c"] + p["d"])
 
     def score(self, x, first):
-        return self.forward(x, first)[-1]
+        return self.forward(self.standard(x.astype(np.float64)), first)[-1]
 
-    def fit(self, x, first, y, epochs=150, rate=0.02, decay=1e-4):
+    def loss(self, x, first, y, weight):
+        out = self.forward(x, first)[-1]
+        return -(weight * (y * np.log(out) + (1 - y) * np.log(1 - out))).sum()
+
+    def gradient(self, x, first, y, weight):
+        """The loss's derivative by every parameter, x being standardised."""
         p, lens = self.p, np.diff(first)
+        h, t, g, a, z, out = self.forward(x, first)
+        dz = (out - y) * weight
+        grad = {"c": z.T @ dz, "d": np.array([dz.sum()])}
+        dz = np.repeat(dz[:, None] * p["c"], lens, axis=0)
+        da = (dz * h).sum(1)
+        de = a * (da - np.repeat(np.add.reduceat(a * da, first[:-1]), lens))
+        grad["u"] = (t * g).T @ de
+        back = de[:, None] * p["u"]
+        dt, dg = back * g * (1 - t * t), back * t * g * (1 - g)
+        grad["V"], grad["G"] = h.T @ dt, h.T @ dg
+        dh = a[:, None] * dz + dt @ p["V"].T + dg @ p["G"].T
+        dh *= 1 - h * h
+        grad["W"], grad["b"] = x.T @ dh.astype(x.dtype), dh.sum(0)
+        return grad
+
+    def fit(self, x, first, y, epochs=150, rate=0.02, decay=1e-4):
+        x, p = self.standard(x), self.p
         share = max(y.mean(), 1e-3), max(1 - y.mean(), 1e-3)
         weight = np.where(y == 1, 0.5 / share[0], 0.5 / share[1]) / len(y)
         m = {k: np.zeros_like(v) for k, v in p.items()}
         s = {k: np.zeros_like(v) for k, v in p.items()}
         for step in range(1, epochs + 1):
-            xs, h, t, g, a, z, out = self.forward(x, first)
-            dz = (out - y) * weight
-            grad = {"c": z.T @ dz, "d": np.array([dz.sum()])}
-            dz = np.repeat(dz[:, None] * p["c"], lens, axis=0)
-            da = (dz * h).sum(1)
-            de = a * (da - np.repeat(np.add.reduceat(a * da, first[:-1]), lens))
-            grad["u"] = (t * g).T @ de
-            back = de[:, None] * p["u"]
-            dt, dg = back * g * (1 - t * t), back * t * g * (1 - g)
-            grad["V"], grad["G"] = h.T @ dt, h.T @ dg
-            dh = a[:, None] * dz + dt @ p["V"].T + dg @ p["G"].T
-            dh *= 1 - h * h
-            grad["W"], grad["b"] = xs.T @ dh, dh.sum(0)
+            grad = self.gradient(x, first, y, weight)
             for k in self.NAMES:
                 gk = grad[k] + decay * p[k]
                 m[k] = 0.9 * m[k] + 0.1 * gk
@@ -119,14 +132,32 @@ class Attention:
         return self
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000) -> Attention:
-    """Fit on at most `sample` labelled documents: labels (doc_id, label 0/1); ties in hash by doc_id."""
+def chosen(lengths: list[tuple[int, int]], most: int) -> list[int]:
+    """Of rows (key, bytes) in order, the keys of those that together have at most `most` passages, whole."""
+    out, total = [], 0
+    for key, size in lengths:
+        n = max(1, -(-size // PASSAGE))
+        if total + n <= most:
+            out.append(key)
+            total += n
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, most: int = 32_000) -> Attention:
+    """Fit on at most `sample` labelled documents of at most `most` passages: labels (doc_id, label 0/1).
+
+    A document longer than what is left of `most` is passed over, never cut.
+    """
+    docs = small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     ids = (
         labels.where("label IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("label").alias("label"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()
-    )  # bounded by sample
-    spark = docs.sparkSession
-    known = spark.createDataFrame([(r.doc_id, float(r.label)) for r in ids], "doc_id long, label double")
+        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    )
+    label_of = {r.doc_id: float(r.label) for r in ids.collect()}  # bounded by sample
+    known = lambda keys: F.broadcast(docs.sparkSession.createDataFrame([(k, label_of[k]) for k in keys], "doc_id long, label double"))
+    # rows that repeat an id count together, so a document is in with all its rows or not at all
+    lengths = docs.join(known(label_of), "doc_id").groupBy("doc_id").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + PASSAGE).alias("n"))
+    keys = chosen([(r.doc_id, r.n) for r in lengths.orderBy(F.xxhash64("doc_id"), "doc_id").collect()], most)
 
     def run(batches):
         for batch in batches:
@@ -136,17 +167,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000) -> Attention:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array(rows, pa.binary())], ["doc_id", "label", "x"])
 
     rows = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id")
-        .mapInArrow(run, "doc_id long, label double, x binary").orderBy("doc_id", F.xxhash64("x")).collect()
-    )  # features of at most `sample` documents
-    if not rows:
+        docs.join(known(keys), "doc_id").mapInArrow(run, "doc_id long, label double, x binary").orderBy("doc_id", F.xxhash64("x")).toArrow()
+    )  # at most `most` passages of 4 * WIDTH bytes
+    if not rows.num_rows:
         model = Attention(np.zeros(WIDTH), np.ones(WIDTH))
         model.p["c"][:] = 0
         return model
-    x = [np.frombuffer(r.x, np.float32).reshape(-1, WIDTH) for r in rows]
+    x = [np.frombuffer(v, np.float32).reshape(-1, WIDTH) for v in rows.column("x").to_pylist()]
     first = np.concatenate([[0], np.cumsum([len(v) for v in x])])
-    x = np.vstack(x).astype(np.float64)
-    return Attention(x.mean(0), x.std(0) + 0.02).fit(x, first, np.array([r.label for r in rows]))
+    x = np.vstack(x)
+    return Attention(x.mean(0, dtype=np.float64), x.std(0, dtype=np.float64) + 0.02).fit(x, first, rows.column("label").to_numpy())
 
 
 def score(docs: DataFrame, model: Attention) -> DataFrame:
@@ -167,4 +197,4 @@ def score(docs: DataFrame, model: Attention) -> DataFrame:
 
     from pyspark.sql import types as T
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
+    return small_batches(docs).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))

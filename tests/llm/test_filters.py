@@ -108,11 +108,58 @@ def test_sample_bounds_the_fit_and_no_label_is_neutral(labelled):
     assert quality.score(docs.where("false"), none).count() == 0
 
 
-def test_gradients():
+def test_gradients_are_the_loss_s_differences():
     r = np.random.default_rng(0)
-    x, first = r.normal(size=(9, 5)), np.array([0, 2, 5, 9])
+    x, first, y = r.normal(size=(9, 5)), np.array([0, 2, 5, 9]), np.array([1.0, 0.0, 1.0])
+    model, weight = quality.Attention(np.zeros(5), np.ones(5)), np.array([0.2, 0.5, 0.3])
+    grad = model.gradient(x, first, y, weight)
+    for name, value in model.p.items():
+        flat, step = value.reshape(-1), 1e-6
+        for i in r.choice(flat.size, min(8, flat.size), replace=False):
+            was = flat[i]
+            ends = []
+            for move in (step, -step):
+                flat[i] = was + move
+                ends.append(model.loss(x, first, y, weight))
+            flat[i] = was
+            assert abs((ends[0] - ends[1]) / (2 * step) - grad[name].reshape(-1)[i]) < 1e-6, name
+
+
+def test_fit_lowers_the_loss():
+    r = np.random.default_rng(0)
+    x, first, y = r.normal(size=(9, 5)), np.array([0, 2, 5, 9]), np.array([1.0, 0.0, 1.0])
     model = quality.Attention(np.zeros(5), np.ones(5))
-    y = np.array([1.0, 0.0, 1.0])
     before = model.score(x, first)
     after = model.fit(x, first, y, epochs=200).score(x, first)
     assert np.abs(after - y).mean() < 0.1 < np.abs(before - y).mean()
+
+
+def plain_score(model, text):
+    """The model's score, passage by passage and number by number."""
+    data, p = (text or "").encode(), model.p
+    hidden, energy = [], []
+    for at in range(0, max(1, len(data)), quality.PASSAGE):
+        part = data[at : at + quality.PASSAGE]
+        kinds, pairs = [0] * quality.CLASSES, [0] * quality.BIGRAMS
+        for b in part:
+            kinds[quality.BYTE_CLASS[b]] += 1
+        for a, b in zip(part, part[1:]):
+            pairs[((a * 40503 + b * 10007) >> 5) % quality.BIGRAMS] += 1
+        x = np.array([(n / max(1, len(part))) ** 0.5 for n in kinds + pairs], np.float32).astype(float)
+        h = np.tanh(((x - model.mean) / model.scale) @ p["W"] + p["b"])
+        hidden.append(h)
+        energy.append(float((np.tanh(h @ p["V"]) / (1 + np.exp(-(h @ p["G"])))) @ p["u"]))
+    share = np.exp(np.array(energy) - max(energy))
+    z = sum(a * h for a, h in zip(share / share.sum(), hidden, strict=True))
+    return 1 / (1 + np.exp(-(z @ p["c"] + p["d"][0])))
+
+
+def test_scores_against_a_plain_computation(labelled):
+    docs, labels = labelled
+    model = quality.fit(docs, labels)
+    for r in quality.score(docs, model).collect():
+        assert abs(r.score_ - plain_score(model, r.text)) < 1e-5
+
+
+def test_the_sample_is_bounded_in_passages():
+    assert quality.chosen([(1, 512), (2, 5120), (3, 1024), (4, 0), (5, 512)], 4) == [1, 3, 4]
