@@ -27,7 +27,7 @@ WORDS = 5
 _U = np.uint64
 HOT_BIT = _U(1 << 63)
 HOT_LIMIT, HOT_COUNT, BLOCK = 200_000, 32, 1 << 21
-TURNS = 3  # rounds of leaders after the first
+TURNS, LARGE = 3, 32  # rounds of leaders after the first, in buckets of more rows than that
 
 
 def shingles(t: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -353,7 +353,7 @@ def ngram_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     star = star.join(sets.select(F.col("g").alias("y"), F.col("sig").alias("v"), F.col("k").alias("kv")), "y").select("u", "v", "ku", "kv")
     own = sets.join(lead.select("g", F.col("sig").alias("u"), F.col("k").alias("ku")), "g").where("sig <> u").select("u", F.col("sig").alias("v"), "ku", F.col("k").alias("kv"))
     first = durable(linked(docs, star.unionByName(own), percent))
-    edges, shared_apart = first, shared
+    edges, large = first, None
     for turn in range(TURNS + 1):
         label = components(edges)
         marked = sets.select("sig", "g", "n", "k").join(label.select(F.col("node").alias("sig"), "root"), "sig", "left").withColumn("c", F.coalesce("root", "sig")).drop("root")
@@ -361,11 +361,14 @@ def ngram_components(docs: DataFrame, percent: int = 75) -> DataFrame:
         # a group whose members lie apart is apart from every group, itself included
         apart = F.col("c") != F.col("c2")
         by_group = durable(by_group.select("g", F.when(apart, F.xxhash64("g")).otherwise(F.col("c")).alias("c"), apart.alias("apart")))
-        shared_apart = durable(shared_by_components(shared_apart, by_group))
-        if turn == TURNS or not shared_apart.limit(1).count():
+        if turn == TURNS:
+            break
+        # large buckets only: small ones make few pairs for each row
+        large = durable(shared_by_components(large if turn else shared, by_group).where(F.col("m") > LARGE))
+        if not large.limit(1).count():
             break
         # one more round of leaders, drawn anew: each component tries the group it meets most often
-        met = shared_apart.repartition("tok").sortWithinPartitions("tok", F.xxhash64("g", F.lit(turn)), "g").mapInArrow(stars(percent), PAIR)
+        met = large.repartition("tok").sortWithinPartitions("tok", F.xxhash64("g", F.lit(turn)), "g").mapInArrow(stars(percent), PAIR)
         met = met.groupBy("x", "y").agg(F.count("*").alias("m"))
         for side in "xy":
             met = met.join(by_group.select(F.col("g").alias(side), F.col("c").alias("c" + side)), side)
@@ -373,10 +376,13 @@ def ngram_components(docs: DataFrame, percent: int = 75) -> DataFrame:
         best = plausible(best, sketch, percent)
         for side, u in (("x", "u"), ("y", "v")):
             best = best.join(lead.select(F.col("g").alias(side), F.col("sig").alias(u), F.col("k").alias("k" + u)), side)
-        edges = durable(edges.unionByName(linked(docs, best.select("u", "v", "ku", "kv"), percent)))
+        more = durable(linked(docs, best.select("u", "v", "ku", "kv"), percent))
+        if not more.limit(1).count():
+            break
+        edges = edges.unionByName(more)
 
     # round 2: what the leaders left apart
-    across = in_cells(shared_apart).join(sketch.select("g", "sk"), "g")
+    across = in_cells(shared_by_components(shared, by_group)).join(sketch.select("g", "sk"), "g")
     across = across.repartition("cell").sortWithinPartitions("cell", "n", "g").mapInArrow(crossings(percent), "x long, y long").distinct()
     across = across.unionByName(by_group.where("apart").select(F.col("g").alias("x"), F.col("g").alias("y")))
     for side, u in (("x", "u"), ("y", "v")):

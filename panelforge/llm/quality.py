@@ -143,7 +143,7 @@ def chosen(lengths: list[tuple[int, int]], most: int) -> list[int]:
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, most: int = 32_000) -> Attention:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, most: int = 16_000) -> Attention:
     """Fit on at most `sample` labelled documents of at most `most` passages: labels (doc_id, label 0/1).
 
     A document longer than what is left of `most` is passed over, never cut.
@@ -173,10 +173,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, most: int = 32_0
         model = Attention(np.zeros(WIDTH), np.ones(WIDTH))
         model.p["c"][:] = 0
         return model
-    x = [np.frombuffer(v, np.float32).reshape(-1, WIDTH) for v in rows.column("x").to_pylist()]
-    first = np.concatenate([[0], np.cumsum([len(v) for v in x])])
-    x = np.vstack(x)
-    return Attention(x.mean(0, dtype=np.float64), x.std(0, dtype=np.float64) + 0.02).fit(x, first, rows.column("label").to_numpy())
+    y, cells = rows.column("label").to_numpy(), Texts(rows.column("x"))
+    x, first = cells.data.view(np.float32).reshape(-1, WIDTH), cells.offsets // (4 * WIDTH)
+    return Attention(x.mean(0, dtype=np.float64), x.std(0, dtype=np.float64) + 0.02).fit(x, first, y)
 
 
 def score(docs: DataFrame, model: Attention) -> DataFrame:
