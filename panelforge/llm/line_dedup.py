@@ -5,6 +5,13 @@ first stands.  Each line of length l is cut into TAU + 1 segments; a line within
 one of them as a substring at a place that its length and the segment's number bound, so it
 probes an index keyed by (length, number, segment).  Candidates are verified by edit distance.
 
+Where many different lines share a segment (over HOT), near copies as a rule, a second level
+replaces the key.  What lies left and right of the segment is described by counts of LETTERS on
+each side; an edit changes two of them at most, so of GROUPS groups of counts all but 2 TAU are
+equal, and the lines meet under every choice of that many groups.  That is exact, too.
+
+Equal lines are those with two equal hashes of 64 bits, drawn with independent seeds.
+
 A line goes if it, or a line within TAU edits of it, stands earlier (by doc_id, then line
 number).  Lines of fewer than min_chars characters are not compared by edits; equal ones are
 counted from min_copy characters on, so with min_copy = 1 every copy of a line that is not empty goes.
@@ -16,26 +23,45 @@ id only are ordered by a hash of their texts; other columns are not carried.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.llm.common import doc_id, durable, keyed
 
 TAU, MIN_CHARS = 2, 20
+HOT, LETTERS = 32, "etaoinshrdlucm"
 
 
-def keys(lines: DataFrame, moves: list[tuple[int, int, int]], tau: int) -> DataFrame:
-    """(k, at, key): for each (delta, i, move) the line's substring where segment i of a line
-    shorter by delta would lie, moved; segments are even, the last ones longer by one where needed.
+def cuts(lines: DataFrame, moves: list[tuple[int, int, int]], tau: int) -> DataFrame:
+    """lines (with line, n) and, for each (delta, i, move), a row with the place and size of the
+    substring where segment i of a line shorter by delta (of length m) would lie, moved.
 
-    The moves are rows of a constant array, so the code stays small however many they are.
+    Segments are even, the last ones longer by one where needed.  The moves are rows of a constant
+    array, so the code stays small however many they are.
     """
     parts = tau + 1
     c = F.array(*[F.struct(F.lit(d).alias("delta"), F.lit(i).alias("i"), F.lit(m).alias("move")) for d, i, m in moves])
-    x = lines.select("k", "at", "line", "n", F.explode(c).alias("c")).selectExpr("k", "at", "line", "n", "n - c.delta AS m", "c.i AS i", "c.move AS move")
-    x = x.selectExpr("*", f"CAST(m DIV {parts} AS int) AS short", f"{parts} - CAST(m % {parts} AS int) AS even")
-    x = x.selectExpr("k", "at", "line", "n", "m", "i", "short * i + greatest(0, i - even) + move AS place", "short + IF(i >= even, 1, 0) AS size")
-    return x.where("place >= 0 AND place + size <= n").selectExpr("k", "at", "xxhash64(m, i, substring(line, place + 1, size)) AS key")
+    x = lines.withColumn("c", F.explode(c)).selectExpr("*", "n - c.delta AS m", f"CAST((n - c.delta) DIV {parts} AS int) AS short", f"{parts} - CAST((n - c.delta) % {parts} AS int) AS even")
+    x = x.withColumns({"place": F.expr("short * c.i + greatest(0, c.i - even) + c.move"), "size": F.expr("short + IF(c.i >= even, 1, 0)")})
+    return x.where("place >= 0 AND place + size <= n").withColumn("key", F.expr("xxhash64(m, c.i, substring(line, place + 1, size))"))
+
+
+def keys(lines: DataFrame, moves: list[tuple[int, int, int]], tau: int) -> DataFrame:
+    """(k, at, key) of lines (k, at, line, n)."""
+    return cuts(lines, moves, tau).select("k", "at", "key")
+
+
+def second_keys(hot: DataFrame, moves: list[tuple[int, int, int]], tau: int) -> DataFrame:
+    """(k, at, key2) of lines (k, at, line, n) under their hot keys: one for each choice of groups of counts."""
+    x = cuts(hot, moves, tau).where(F.array_contains("hot", F.col("key")))
+    sides = F.substring("line", F.lit(1), F.col("place")), F.substr("line", F.col("place") + F.col("size") + 1)
+    counts = [F.length(s) - F.length(F.translate(s, c, "")) for c in LETTERS for s in sides]
+    groups = 2 * tau + 3
+    x = x.select("k", "at", "key", once(F.array(*[F.xxhash64(F.lit(g), *counts[g::groups]) for g in range(groups)])).alias("g"))
+    chosen = [F.xxhash64("key", *[F.col("g")[j] for j in c]) for c in itertools.combinations(range(groups), groups - 2 * tau)]
+    return x.select("k", "at", F.explode(F.array(*chosen)).alias("key2")).distinct()
 
 
 def index_moves(tau: int) -> list[tuple[int, int, int]]:
@@ -52,6 +78,10 @@ def once(value: Column) -> Column:
     return F.explode(F.array(value))
 
 
+def other(rows: DataFrame) -> DataFrame:
+    return rows.withColumnsRenamed({"k": "k2", "at": "at2"})
+
+
 def near(line: Column, other: Column, tau: int) -> Column:
     return F.levenshtein(line, other, tau) >= 0
 
@@ -69,7 +99,7 @@ def dedup_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, car
     split = F.split("text", "\n", -1)
     places = docs.select("k", "did", F.posexplode(split).alias("at", "line"))
     size = F.char_length("line")
-    places = places.select("k", "did", "at", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"), (size >= min_copy).alias("counted"), (size >= min_chars).alias("long"))
+    places = places.select("k", "did", "at", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), (size >= min_copy).alias("counted"), (size >= min_chars).alias("long"))
     first = places.where("counted").groupBy("h1", "h2").agg(F.min(F.struct("did", "k", "at", "long")).alias("first"), F.count("*").alias("n"))
     first = durable(first.select("h1", "h2", "n", "first.did", "first.k", "first.at", "first.long"))
 
@@ -79,10 +109,19 @@ def dedup_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, car
     here = dealt.join(ats.hint("shuffle_hash"), "k").select("k", "ats", once(split).alias("lines"))
     lines = here.select("k", F.explode(F.transform("ats", lambda a: F.struct(a.alias("at"), F.get("lines", a).alias("line")))).alias("l"))
     lines = lines.select("k", "l.at", "l.line", F.char_length("l.line").alias("n"))
-    index = keys(lines, index_moves(tau), tau)
-    probe = keys(lines, probe_moves(tau), tau).withColumnsRenamed({"k": "k2", "at": "at2"})
+    index, probe = (keys(lines, moves, tau).repartition("key") for moves in (index_moves(tau), probe_moves(tau)))
+    hot = index.groupBy("key").count().where(F.col("count") > HOT).select("key").hint("shuffle_hash")
+    first_level = index.join(hot, "key", "left_anti").join(other(probe), "key")
+    # lines under hot keys, read again; a line's hot keys are at most as many as its moves
+    by_line = index.unionByName(probe).join(hot, "key", "left_semi").groupBy("k", "at").agg(F.collect_set("key").alias("hot"))
+    asked = by_line.groupBy("k").agg(F.collect_list(F.struct("at", "hot")).alias("asked"))
+    here = dealt.join(asked.hint("shuffle_hash"), "k").select("k", "asked", once(split).alias("lines"))
+    again = here.select("k", F.explode(F.transform("asked", lambda a: F.struct(a["at"].alias("at"), a["hot"].alias("hot"), F.get("lines", a["at"]).alias("line")))).alias("l"))
+    again = again.select("k", "l.at", "l.hot", "l.line", F.char_length("l.line").alias("n")).repartition("k", "at")
+    second_level = second_keys(again, index_moves(tau), tau).join(other(second_keys(again, probe_moves(tau), tau)), "key2")
     a, b = F.struct("k", "at"), F.struct(F.col("k2").alias("k"), F.col("at2").alias("at"))
-    pairs = index.join(probe, "key").where(a != b).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+    pairs = first_level.select("k", "at", "k2", "at2").unionByName(second_level.select("k", "at", "k2", "at2"))
+    pairs = pairs.where(a != b).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
     pairs = pairs.select(F.col("a.k").alias("k"), F.col("a.at").alias("at"), F.col("b.k").alias("k2"), F.col("b.at").alias("at2"))
     pairs = pairs.join(dealt, "k").withColumn("line", F.get(split, F.col("at"))).drop("text")
     pairs = pairs.join(dealt.withColumnRenamed("k", "k2"), "k2").withColumn("line2", F.get(split, F.col("at2"))).drop("text")

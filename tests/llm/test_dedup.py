@@ -215,7 +215,9 @@ def test_short_copies_go_in_query_and_pipeline(spark, documents, tmp_path):
     assert {r.doc_id: r.text for r in staged} == kept
 
 
-def test_line_join_finds_every_pair(documents):
+@pytest.mark.parametrize("hot", [32, 1])
+def test_line_join_finds_every_pair(documents, monkeypatch, hot):
+    monkeypatch.setattr(line_dedup, "HOT", hot)  # 1: nearly all segments go to the second level
     r = np.random.default_rng(3)
     rows = []
     for i in range(120):
@@ -225,6 +227,22 @@ def test_line_join_finds_every_pair(documents):
     assert sorted((order(x.doc_id), x.n_lines, x.n_removed, x.text) for x in got) == brute_lines(rows)
 
 
+def test_many_near_copies_of_one_line(documents):
+    """Lines that share their segments, most of them further than two edits from each other."""
+    r = np.random.default_rng(11)
+    words = [str(w) for w in r.choice(["the", "river", "stone", "and", "house", "green", "light", "under", "walks", "of"], 24)]
+    rows = []
+    for i in range(150):
+        line = list(words)
+        for j in r.integers(0, 24, i % 3):
+            line[j] = "".join(r.choice(list("etaoinshq"), 6))
+        text = " ".join(line)
+        at = int(r.integers(0, len(text)))
+        rows.append((i, text if i % 4 else text[:at] + "z" + text[at + 1 :]))
+    got = line_dedup.dedup_lines(documents(rows)).collect()
+    assert sorted((order(x.doc_id), x.n_lines, x.n_removed, x.text) for x in got) == brute_lines(rows)
+
+
 def test_empty_tables(documents):
     none = documents([])
     for f in (phrases.remove_phrases, substrings.remove_substrings, ngram_join.ngram_components, line_dedup.dedup_lines):
