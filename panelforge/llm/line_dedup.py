@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import itertools
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.llm.common import doc_id, durable, keyed
@@ -109,18 +109,24 @@ def dedup_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, car
     here = dealt.join(ats.hint("shuffle_hash"), "k").select("k", "ats", once(split).alias("lines"))
     lines = here.select("k", F.explode(F.transform("ats", lambda a: F.struct(a.alias("at"), F.get("lines", a).alias("line")))).alias("l"))
     lines = lines.select("k", "l.at", "l.line", F.char_length("l.line").alias("n"))
-    index, probe = (keys(lines, moves, tau).repartition("key") for moves in (index_moves(tau), probe_moves(tau)))
-    hot = index.groupBy("key").count().where(F.col("count") > HOT).select("key").hint("shuffle_hash")
-    first_level = index.join(hot, "key", "left_anti").join(other(probe), "key")
+    index, probe = keys(lines, index_moves(tau), tau), keys(lines, probe_moves(tau), tau)
+    # a key over HOT is met in one row only: every line under it also probes it with its own segment
+    of_key = Window.partitionBy("key")
+    index = index.select("k", "at", "key", F.count("*").over(of_key).alias("m"), F.row_number().over(of_key.orderBy("k", "at")).alias("row")).where((F.col("m") <= HOT) | (F.col("row") == 1))
+    a, b = F.struct("k", "at"), F.struct(F.col("k2").alias("k"), F.col("at2").alias("at"))
+    many = F.col("m") > HOT
+    met = index.join(other(probe), "key").where(many | (a != b)).select("k2", "at2", F.struct(F.when(many, F.col("key")).alias("key"), F.when(~many, a).alias("a")).alias("met"))
+    # one column, so that both uses read one exchange
+    met = met.groupBy("k2", "at2").agg(F.collect_set("met").alias("met"))
+    first_level = met.select("k2", "at2", F.explode("met").alias("m")).where("m.a IS NOT NULL").select("m.a.k", "m.a.at", "k2", "at2")
     # lines under hot keys, read again; a line's hot keys are at most as many as its moves
-    by_line = index.unionByName(probe).join(hot, "key", "left_semi").groupBy("k", "at").agg(F.collect_set("key").alias("hot"))
-    asked = by_line.groupBy("k").agg(F.collect_list(F.struct("at", "hot")).alias("asked"))
+    by_line = met.select(F.col("k2").alias("k"), F.struct(F.col("at2").alias("at"), F.filter(F.transform("met", lambda x: x["key"]), lambda x: x.isNotNull()).alias("hot")).alias("line"))
+    asked = by_line.where(F.size("line.hot") > 0).groupBy("k").agg(F.collect_list("line").alias("asked"))
     here = dealt.join(asked.hint("shuffle_hash"), "k").select("k", "asked", once(split).alias("lines"))
     again = here.select("k", F.explode(F.transform("asked", lambda a: F.struct(a["at"].alias("at"), a["hot"].alias("hot"), F.get("lines", a["at"]).alias("line")))).alias("l"))
     again = again.select("k", "l.at", "l.hot", "l.line", F.char_length("l.line").alias("n")).repartition("k", "at")
     second_level = second_keys(again, index_moves(tau), tau).join(other(second_keys(again, probe_moves(tau), tau)), "key2")
-    a, b = F.struct("k", "at"), F.struct(F.col("k2").alias("k"), F.col("at2").alias("at"))
-    pairs = first_level.select("k", "at", "k2", "at2").unionByName(second_level.select("k", "at", "k2", "at2"))
+    pairs = first_level.unionByName(second_level.select("k", "at", "k2", "at2"))
     pairs = pairs.where(a != b).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
     pairs = pairs.select(F.col("a.k").alias("k"), F.col("a.at").alias("at"), F.col("b.k").alias("k2"), F.col("b.at").alias("at2"))
     pairs = pairs.join(dealt, "k").withColumn("line", F.get(split, F.col("at"))).drop("text")
