@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from panelforge.llm.common import doc_id, durable, keyed
 
 TAU, MIN_CHARS = 2, 20
-HOT, LETTERS = 32, "etaoinshrdlucm"
+HOT, LETTERS = 32, "etaoinshrdlucmwfgypbvk ,."
 
 
 def cuts(lines: DataFrame, moves: list[tuple[int, int, int]], tau: int) -> DataFrame:
@@ -54,14 +54,27 @@ def keys(lines: DataFrame, moves: list[tuple[int, int, int]], tau: int) -> DataF
 
 
 def second_keys(hot: DataFrame, moves: list[tuple[int, int, int]], tau: int) -> DataFrame:
-    """(k, at, key2) of lines (k, at, line, n) under their hot keys: one for each choice of groups of counts."""
+    """(k, at, key2, last, groups, counts) of lines (k, at, line, n) under their hot keys: a row for
+    each choice of groups of counts, of which last is the last."""
     x = cuts(hot, moves, tau).where(F.array_contains("hot", F.col("key")))
     sides = F.substring("line", F.lit(1), F.col("place")), F.substr("line", F.col("place") + F.col("size") + 1)
-    counts = [F.length(s) - F.length(F.translate(s, c, "")) for c in LETTERS for s in sides]
-    groups = 2 * tau + 3
-    x = x.select("k", "at", "key", once(F.array(*[F.xxhash64(F.lit(g), *counts[g::groups]) for g in range(groups)])).alias("g"))
-    chosen = [F.xxhash64("key", *[F.col("g")[j] for j in c]) for c in itertools.combinations(range(groups), groups - 2 * tau)]
-    return x.select("k", "at", F.explode(F.array(*chosen)).alias("key2")).distinct()
+    counts = F.array(*[F.length(s) - F.length(F.translate(s, c, "")) for c in LETTERS for s in sides])
+    x = x.select("k", "at", "key", once(counts).alias("counts"))
+    of, n = 2 * tau + 3, 2 * len(LETTERS)
+    x = x.select("k", "at", "key", "counts", once(F.array(*[F.xxhash64(F.lit(g), *[F.col("counts")[i] for i in range(g, n, of)]) for g in range(of)])).alias("groups"))
+    chosen = [F.struct(F.xxhash64("key", *[F.col("groups")[j] for j in c]).alias("key2"), F.lit(c[-1]).alias("last")) for c in itertools.combinations(range(of), of - 2 * tau)]
+    return x.select("k", "at", "counts", "groups", F.explode(F.array(*chosen)).alias("c")).select("k", "at", "c.key2", "c.last", "groups", "counts")
+
+
+def second_pairs(hot: DataFrame, tau: int) -> DataFrame:
+    """(k, at, k2, at2) of lines under a hot key whose counts differ by no more than the edits allow;
+    a pair is made under the first choice of groups that agree."""
+    one = second_keys(hot, index_moves(tau), tau)
+    two = second_keys(hot, probe_moves(tau), tau).select(F.col("k").alias("k2"), F.col("at").alias("at2"), "key2", F.col("groups").alias("groups2"), F.col("counts").alias("counts2"))
+    first = F.size(F.filter(F.sequence(F.lit(0), F.col("last")), lambda i: F.get("groups", i) == F.get("groups2", i))) == 3
+    apart = F.aggregate(F.zip_with("counts", "counts2", lambda a, b: F.abs(a - b)), F.lit(0), lambda a, b: a + b)
+    met = (one["key2"] == two["key2"]) & (F.struct("k", "at") != F.struct(F.col("k2").alias("k"), F.col("at2").alias("at"))) & first & (apart <= 2 * tau)
+    return one.join(two, met).select("k", "at", "k2", "at2")
 
 
 def index_moves(tau: int) -> list[tuple[int, int, int]]:
@@ -125,8 +138,7 @@ def dedup_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, car
     here = dealt.join(asked.hint("shuffle_hash"), "k").select("k", "asked", once(split).alias("lines"))
     again = here.select("k", F.explode(F.transform("asked", lambda a: F.struct(a["at"].alias("at"), a["hot"].alias("hot"), F.get("lines", a["at"]).alias("line")))).alias("l"))
     again = again.select("k", "l.at", "l.hot", "l.line", F.char_length("l.line").alias("n")).repartition("k", "at")
-    second_level = second_keys(again, index_moves(tau), tau).join(other(second_keys(again, probe_moves(tau), tau)), "key2")
-    pairs = first_level.unionByName(second_level.select("k", "at", "k2", "at2"))
+    pairs = first_level.unionByName(second_pairs(again, tau))
     pairs = pairs.where(a != b).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
     pairs = pairs.select(F.col("a.k").alias("k"), F.col("a.at").alias("at"), F.col("b.k").alias("k2"), F.col("b.at").alias("at2"))
     pairs = pairs.join(dealt, "k").withColumn("line", F.get(split, F.col("at"))).drop("text")
