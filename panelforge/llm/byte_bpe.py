@@ -112,7 +112,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, offsets: bool = False, dec
     def run(batches):
         codec = Codec.of(ranks, pattern)
         for batch in batches:
-            for part in text_chunks(batch):
+            for part in text_chunks(batch, limit=1 << 22):
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 ids = codec.encode(texts)
                 cols = [part.column("doc_id"), pa.array(ids, pa.binary())]

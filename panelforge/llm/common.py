@@ -181,12 +181,12 @@ def chunks(column_lengths: np.ndarray, limit: int = CHUNK_BYTES):
         at = end
 
 
-def text_chunks(batch: pa.RecordBatch, column="text"):
+def text_chunks(batch: pa.RecordBatch, column="text", limit: int = CHUNK_BYTES):
     """The batch in slices of bounded text."""
     import pyarrow.compute as pc
 
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-    for a, b in chunks(lengths):
+    for a, b in chunks(lengths, limit):
         yield batch.slice(a, b - a)
 
 

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.llm.anchors import groups_that
@@ -100,29 +100,30 @@ def described(h, first, percent):
     return n, p, sig.view(np.int64), group.view(np.int64)
 
 
-RANGES, SKETCH_LIMIT = 256, 16_000
+RANGES, ROUGH, SKETCH_LIMIT = 256, 64, 16_000
+EARLIER = ("e1", "e2", "e3")
 
 
-def sketches(h, first) -> pa.Array:
-    """How many shingles of each set fall into each of RANGES ranges of hashes, one byte each.
+def sketches(h, first, ranges: int) -> pa.Array:
+    """How many shingles of each set fall into each of so many ranges of hashes, one byte each.
 
     The sum of the smaller counts bounds the overlap of two sets from above.  A set with a
     count over 254 has 255 throughout, which bounds nothing.
     """
     n = len(first) - 1
     doc = np.repeat(np.arange(n), np.diff(first))
-    part = ((h >> _U(40)) % _U(RANGES)).astype(np.int64)
-    count = np.bincount(doc * RANGES + part, minlength=n * RANGES).reshape(n, RANGES)
+    part = ((h >> _U(40)) % _U(ranges)).astype(np.int64)
+    count = np.bincount(doc * ranges + part, minlength=n * ranges).reshape(n, ranges)
     count[count.max(1) > 254] = 255
     flat = np.ascontiguousarray(count.astype(np.uint8)).reshape(-1)
-    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(np.arange(n + 1, dtype=np.int64) * RANGES), pa.py_buffer(flat)]).cast(pa.binary())
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(np.arange(n + 1, dtype=np.int64) * ranges), pa.py_buffer(flat)]).cast(pa.binary())
 
 
-NO_SKETCH = b"\xff" * RANGES
+NO_SKETCH, NO_ROUGH = b"\xff" * RANGES, b"\xff" * ROUGH
 
 
 def nodes(docs: DataFrame, hot, percent: int) -> DataFrame:
-    """(k, did, n, sig, g, sk) of each document."""
+    """(k, did, n, sig, g, sk, rough) of each document, with a fine and a rough sketch."""
 
     def run(batches):
         table = hot.value
@@ -130,10 +131,10 @@ def nodes(docs: DataFrame, hot, percent: int) -> DataFrame:
             for part in text_chunks(batch):
                 h, first = ordered_sets(Texts(part.column("text")), table)
                 n, _, sig, group = described(h, first, percent)
-                cols = [part.column("k"), part.column("did"), pa.array(n), pa.array(sig), pa.array(group), sketches(h, first)]
-                yield pa.RecordBatch.from_arrays(cols, ["k", "did", "n", "sig", "g", "sk"])
+                cols = [part.column("k"), part.column("did"), pa.array(n), pa.array(sig), pa.array(group), sketches(h, first, RANGES), sketches(h, first, ROUGH)]
+                yield pa.RecordBatch.from_arrays(cols, ["k", "did", "n", "sig", "g", "sk", "rough"])
 
-    return docs.mapInArrow(run, "k long, did long, n long, sig long, g long, sk binary")
+    return docs.mapInArrow(run, "k long, did long, n long, sig long, g long, sk binary, rough binary")
 
 
 def prefixes(docs: DataFrame, hot, percent: int) -> DataFrame:
@@ -201,7 +202,8 @@ def crossings(percent: int):
 
     Two sets that link have a first common shingle, and at it both have room for the overlap they
     need; so a pair is made only where there is that room and their sketches allow the overlap.
-    A cell of two blocks pairs across them.
+    It is not made where the three shared shingles before this one (EARLIER) have one in common,
+    as it was made further up.  A cell of two blocks pairs across them.
     """
 
     def run(batches):
@@ -218,12 +220,13 @@ def crossings(percent: int):
 
     def emit(batch):
         cell, g, n, pos, c, block, two = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("cell", "g", "n", "pos", "c", "block", "two"))
-        sk = Texts(batch.column("sk")).data.reshape(-1, RANGES)
+        sk = Texts(batch.column("rough")).data.reshape(-1, ROUGH)
         if not len(cell):
             return
+        before = [batch.column(e).to_numpy(zero_copy_only=False) for e in EARLIER]
         keep = np.ones(len(cell), bool)
         keep[1:] = (cell[1:] != cell[:-1]) | (g[1:] != g[:-1])
-        cell, g, c, block, two, sk = (v[keep] for v in (cell, g, c, block, two, sk))
+        cell, g, c, block, two, sk, *before = (v[keep] for v in (cell, g, c, block, two, sk, *before))
         n, pos = n[keep].astype(np.int64), pos[keep].astype(np.int64)
         live, step = np.arange(len(cell)), 1
         while len(live):
@@ -235,6 +238,9 @@ def crossings(percent: int):
             need = -(-(n[live] + n[other]) * percent // (100 + percent))
             room = np.minimum(n[live] - pos[live], n[other] - pos[other])
             go = (c[live] != c[other]) & (room >= need) & (~two[live] | (block[live] != block[other]))
+            for a in before:
+                for b in before:
+                    go &= (a[live] != b[other]) | (a[live] == 0)
             some = np.flatnonzero(go & (np.maximum(n[live], n[other]) <= SKETCH_LIMIT))
             for at in range(0, len(some), 1 << 14):  # the sketches' bound, in pieces of bounded size
                 i = some[at : at + (1 << 14)]
@@ -250,12 +256,19 @@ def crossings(percent: int):
 CELL = 50_000
 
 
-def shared_by_components(rows: DataFrame, marked: DataFrame) -> DataFrame:
+def shared_by_components(rows: DataFrame, marked: DataFrame, earlier: bool = False) -> DataFrame:
     """Rows (tok, g, n, pos) with their component c and their bucket's size m, of the buckets that
-    groups of different components (g, c) share."""
-    dealt = rows.select("tok", "g", "n", "pos").join(marked.select("g", "c"), "g").repartition("tok")
+    groups of different components (g, c) share; with earlier, also the group's shared shingles just
+    before, 0 where there is none."""
+    rows = rows.select("tok", "g", "n", "pos").join(marked.select("g", "c"), "g")
+    if earlier:
+        # a group whose copies were read in several batches has its rows several times
+        rows = rows.repartition("g").groupBy("g", "pos").agg(*[F.min(x).alias(x) for x in ("tok", "n", "c")])
+        up = Window.partitionBy("g").orderBy("pos")
+        rows = rows.select("*", *[F.lag("tok", i + 1, 0).over(up).alias(e) for i, e in enumerate(EARLIER)])
+    dealt = rows.repartition("tok")
     mixed = dealt.groupBy("tok").agg(F.count("*").alias("m"), F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 < c2")
-    return dealt.join(mixed.select("tok", "m"), "tok").select("tok", "g", "n", "pos", "c", "m")
+    return dealt.join(mixed.select("tok", "m"), "tok")
 
 
 def in_cells(rows: DataFrame) -> DataFrame:
@@ -263,7 +276,7 @@ def in_cells(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("blocks", F.ceil(F.col("m") / CELL).cast("int"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("g"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return rows.select(F.xxhash64("tok", F.least("block", "to"), F.greatest("block", "to")).alias("cell"), "g", "n", "pos", "c", "block", (F.col("block") != F.col("to")).alias("two"))
+    return rows.select(F.xxhash64("tok", F.least("block", "to"), F.greatest("block", "to")).alias("cell"), "g", "n", "pos", "c", *EARLIER, "block", (F.col("block") != F.col("to")).alias("two"))
 
 
 def plausible(pairs: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
@@ -330,7 +343,7 @@ def ngram_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     node = durable(nodes(docs, hot, percent))
     some = node.where("n > 0")
     # equal sets are one node; a group's lead is its node with the least id
-    sets = some.groupBy("sig", "g", "n").agg(F.min(F.struct("did", "k")).alias("at"), F.min("sk").alias("sk")).select("sig", "g", "n", "sk", "at.did", "at.k")
+    sets = some.groupBy("sig", "g", "n").agg(F.min(F.struct("did", "k")).alias("at"), F.min("sk").alias("sk"), F.min("rough").alias("rough")).select("sig", "g", "n", "sk", "rough", "at.did", "at.k")
     sets = durable(sets)
     lead = sets.groupBy("g").agg(F.min(F.struct("did", "sig", "k")).alias("l")).select("g", F.col("l.sig").alias("sig"), F.col("l.k").alias("k"))
 
@@ -382,8 +395,10 @@ def ngram_components(docs: DataFrame, percent: int = 75) -> DataFrame:
         edges = edges.unionByName(more)
 
     # round 2: what the leaders left apart
-    across = in_cells(shared_by_components(shared, by_group)).join(sketch.select("g", "sk"), "g")
+    rough = sets.groupBy("g").agg(F.count("*").alias("m"), F.min("rough").alias("rough")).select("g", F.when(F.col("m") == 1, F.col("rough")).otherwise(F.lit(NO_ROUGH)).alias("rough"))
+    across = in_cells(shared_by_components(shared, by_group, earlier=True)).join(rough, "g")
     across = across.repartition("cell").sortWithinPartitions("cell", "n", "g").mapInArrow(crossings(percent), "x long, y long").distinct()
+    across = plausible(across, sketch, percent)
     across = across.unionByName(by_group.where("apart").select(F.col("g").alias("x"), F.col("g").alias("y")))
     for side, u in (("x", "u"), ("y", "v")):
         across = across.join(marked.select(F.col("g").alias(side), F.col("sig").alias(u), F.col("k").alias("k" + u), F.col("c").alias("c" + u)), side)

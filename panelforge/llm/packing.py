@@ -32,7 +32,7 @@ LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0134-\u017e"
 LATIN = re.compile(f"[{LETTER}]+")
 WHITE = "\x20\x09-\x0d"
 WORDS = re.compile(f"(?<![^{WHITE}])[{LETTER}]+(?=[.,]?(?![^{WHITE}]))|[^{WHITE}]+")
-MEMO_WORDS, MEMO_CHARS = 150_000, 48
+MEMO_WORDS, MEMO_CHARS = 250_000, 48
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 BUCKET_ITEMS = 16384
 
@@ -96,7 +96,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
     def run(batches):
         codec = WordCodec.of(tokenizer)
         for batch in batches:
-            for part in text_chunks(batch):
+            for part in text_chunks(batch, limit=1 << 22):
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 rows = [[] for _ in range(6)]
                 for d, ids in zip(part.column("doc_id").to_pylist(), codec.encode(texts), strict=True):
