@@ -226,6 +226,9 @@ def crossings(percent: int):
         before = [batch.column(e).to_numpy(zero_copy_only=False) for e in EARLIER]
         keep = np.ones(len(cell), bool)
         keep[1:] = (cell[1:] != cell[:-1]) | (g[1:] != g[:-1])
+        start = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+        mixed = np.minimum.reduceat(c, start) != np.maximum.reduceat(c, start)
+        keep &= np.repeat(mixed, np.diff(np.append(start, len(cell))))
         cell, g, c, block, two, sk, *before = (v[keep] for v in (cell, g, c, block, two, sk, *before))
         n, pos = n[keep].astype(np.int64), pos[keep].astype(np.int64)
         live, step = np.arange(len(cell)), 1
@@ -253,30 +256,27 @@ def crossings(percent: int):
     return run
 
 
-CELL = 50_000
+CELL, BIG = 50_000, 100_000  # rows of a cell; buckets cut into cells, the largest first
 
 
-def shared_by_components(rows: DataFrame, marked: DataFrame, earlier: bool = False) -> DataFrame:
-    """Rows (tok, g, n, pos) with their component c and their bucket's size m, of the buckets that
-    groups of different components (g, c) share; with earlier, also the group's shared shingles just
-    before, 0 where there is none."""
-    rows = rows.select("tok", "g", "n", "pos").join(marked.select("g", "c"), "g")
-    if earlier:
-        # a group whose copies were read in several batches has its rows several times
-        rows = rows.repartition("g").groupBy("g", "pos").agg(*[F.min(x).alias(x) for x in ("tok", "n", "c")])
-        up = Window.partitionBy("g").orderBy("pos")
-        rows = rows.select("*", *[F.lag("tok", i + 1, 0).over(up).alias(e) for i, e in enumerate(EARLIER)])
-    dealt = rows.repartition("tok")
-    mixed = dealt.groupBy("tok").agg(F.count("*").alias("m"), F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 < c2")
-    return dealt.join(mixed.select("tok", "m"), "tok")
+def in_cells(shared: DataFrame, of_group: DataFrame) -> DataFrame:
+    """Rows (cell, g, n, pos, c, rough, EARLIER, block, two) of shared prefixes (tok, g, n, pos), sorted
+    by cell and size; of_group: (g, c, rough).
 
-
-def in_cells(rows: DataFrame) -> DataFrame:
-    """Buckets of over CELL rows are cut into blocks, and each pair of blocks is a cell."""
-    rows = rows.withColumn("blocks", F.ceil(F.col("m") / CELL).cast("int"))
+    A bucket is a cell; one of over CELL rows is cut into blocks, and each pair of blocks is a cell.
+    EARLIER are the group's shared shingles just before, 0 where there is none.
+    """
+    # a group whose copies were read in several batches has its rows several times
+    rows = shared.repartition("g").groupBy("g", "pos").agg(F.min("tok").alias("tok"), F.min("n").alias("n"))
+    up = Window.partitionBy("g").orderBy("pos")
+    rows = rows.select("*", *[F.lag("tok", i + 1, 0).over(up).alias(e) for i, e in enumerate(EARLIER)]).join(of_group, "g")
+    big = shared.groupBy("tok").count().where(F.col("count") > CELL).select("tok", F.ceil(F.col("count") / CELL).cast("int").alias("blocks"))
+    rows = rows.join(F.broadcast(big.orderBy(F.desc("blocks"), "tok").limit(BIG)), "tok", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("g"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return rows.select(F.xxhash64("tok", F.least("block", "to"), F.greatest("block", "to")).alias("cell"), "g", "n", "pos", "c", *EARLIER, "block", (F.col("block") != F.col("to")).alias("two"))
+    cell = F.when(F.col("blocks") == 1, F.col("tok")).otherwise(F.xxhash64("tok", F.least("block", "to"), F.greatest("block", "to")))
+    rows = rows.select(cell.alias("cell"), "g", "n", "pos", "c", "rough", *EARLIER, "block", (F.col("block") != F.col("to")).alias("two"))
+    return rows.repartition("cell").sortWithinPartitions("cell", "n", "g")
 
 
 def plausible(pairs: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
@@ -376,10 +376,9 @@ def ngram_components(docs: DataFrame, percent: int = 75) -> DataFrame:
         by_group = durable(by_group.select("g", F.when(apart, F.xxhash64("g")).otherwise(F.col("c")).alias("c"), apart.alias("apart")))
         if turn == TURNS:
             break
-        # large buckets only: small ones make few pairs for each row
-        large = durable(shared_by_components(large if turn else shared, by_group).where(F.col("m") > LARGE))
-        if not large.limit(1).count():
-            break
+        if large is None:  # small buckets make few pairs for each row
+            at_hand = shared.repartition("tok")
+            large = durable(at_hand.join(at_hand.groupBy("tok").count().where(F.col("count") > LARGE).select("tok"), "tok", "left_semi"))
         # one more round of leaders, drawn anew: each component tries the group it meets most often
         met = large.repartition("tok").sortWithinPartitions("tok", F.xxhash64("g", F.lit(turn)), "g").mapInArrow(stars(percent), PAIR)
         met = met.groupBy("x", "y").agg(F.count("*").alias("m"))
@@ -396,8 +395,7 @@ def ngram_components(docs: DataFrame, percent: int = 75) -> DataFrame:
 
     # round 2: what the leaders left apart
     rough = sets.groupBy("g").agg(F.count("*").alias("m"), F.min("rough").alias("rough")).select("g", F.when(F.col("m") == 1, F.col("rough")).otherwise(F.lit(NO_ROUGH)).alias("rough"))
-    across = in_cells(shared_by_components(shared, by_group, earlier=True)).join(rough, "g")
-    across = across.repartition("cell").sortWithinPartitions("cell", "n", "g").mapInArrow(crossings(percent), "x long, y long").distinct()
+    across = in_cells(shared, by_group.select("g", "c").join(rough, "g")).mapInArrow(crossings(percent), "x long, y long").distinct()
     across = plausible(across, sketch, percent)
     across = across.unionByName(by_group.where("apart").select(F.col("g").alias("x"), F.col("g").alias("y")))
     for side, u in (("x", "u"), ("y", "v")):
