@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from panelforge.llm.common import small_batches, text_chunks
+from panelforge.llm.common import kept, small_batches, text_chunks
 
 MEMO_UNITS, MEMO_CHARS = 200_000, 48
 #: The white space of the Unicode standard.
@@ -71,6 +71,7 @@ class Codec:
     def of(cls, path: str, pattern: str) -> "Codec":
         if (path, pattern) not in cls.loaded:
             cls.loaded[path, pattern] = cls(path, pattern)
+            kept.append(("byte_bpe", cls.loaded.clear))
         return cls.loaded[path, pattern]
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -112,7 +113,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, offsets: bool = False, dec
     def run(batches):
         codec = Codec.of(ranks, pattern)
         for batch in batches:
-            for part in text_chunks(batch, limit=1 << 22):
+            for part in text_chunks(batch, limit=1 << 21, owner="byte_bpe"):
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 ids = codec.encode(texts)
                 cols = [part.column("doc_id"), pa.array(ids, pa.binary())]

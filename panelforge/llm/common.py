@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -181,10 +182,29 @@ def chunks(column_lengths: np.ndarray, limit: int = CHUNK_BYTES):
         at = end
 
 
-def text_chunks(batch: pa.RecordBatch, column="text", limit: int = CHUNK_BYTES):
-    """The batch in slices of bounded text."""
+#: What a Python worker keeps between tasks: (owner, a function that lets go of it).
+kept: list = []
+
+
+def let_go(owner: str | None):
+    """Drop what other kernels keep in this worker, which Spark reuses, and hand the pages back."""
+    others = [k for k in kept if k[0] != owner]
+    if others:
+        kept[:] = [k for k in kept if k[0] == owner]
+        for _, drop in others:
+            drop()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):
+            pass  # another C library: the allocator keeps its pages
+
+
+def text_chunks(batch: pa.RecordBatch, column="text", limit: int = CHUNK_BYTES, owner: str | None = None):
+    """The batch in slices of bounded text, for a kernel that keeps things under that owner's name."""
     import pyarrow.compute as pc
 
+    let_go(owner)
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     for a, b in chunks(lengths, limit):
         yield batch.slice(a, b - a)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import durable, small_batches, text_chunks
+from panelforge.llm.common import durable, kept, small_batches, text_chunks
 
 #: Precomposed Latin letters, which every normal form of composition keeps.
 LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0134-\u017e"
@@ -63,6 +63,7 @@ class WordCodec:
     def of(cls, path: str) -> "WordCodec":
         if path not in cls.loaded:
             cls.loaded[path] = cls(path)
+            kept.append(("packing", cls.loaded.clear))
         return cls.loaded[path]
 
     def learn(self, model, words: list[str], keys: list[str]):
@@ -96,7 +97,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
     def run(batches):
         codec = WordCodec.of(tokenizer)
         for batch in batches:
-            for part in text_chunks(batch, limit=1 << 22):
+            for part in text_chunks(batch, limit=1 << 21, owner="packing"):
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 rows = [[] for _ in range(6)]
                 for d, ids in zip(part.column("doc_id").to_pylist(), codec.encode(texts), strict=True):

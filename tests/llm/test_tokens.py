@@ -88,3 +88,17 @@ def test_empty_tables(documents):
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     assert byte_bpe.encode(documents([]), path, pattern).count() == 0
     assert packing.pack_documents(documents([]), public_tokenizers.path("word_bpe_49k.json")).count() == 0
+
+
+def test_a_worker_lets_go_of_other_kernels_memory():
+    import pyarrow as pa
+
+    from panelforge.llm import common
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    batch = pa.RecordBatch.from_pydict({"text": ["a", None]})
+    packing.WordCodec.of(path).encode(["some words"])
+    assert len(list(common.text_chunks(batch, owner="packing"))) == 1 and path in packing.WordCodec.loaded
+    list(common.text_chunks(batch))
+    assert not packing.WordCodec.loaded and not [k for k in common.kept if k[0] == "packing"]
+    assert packing.WordCodec.of(path).encode(["some words"])
