@@ -100,23 +100,34 @@ def described(h, first, percent):
     return n, p, sig.view(np.int64), group.view(np.int64)
 
 
-RANGES, ROUGH, SKETCH_LIMIT = 256, 64, 16_000
+RANGES, MOST_RANGES, ROUGH, SKETCH_LIMIT = 256, 1 << 16, 64, 16_000
+FILTER_BITS, BITMAP = 1 << 26, 1 << 15  # bits of the filter before texts are dealt, at most 8 MB; bits of one of its rows
 EARLIER = ("e1", "e2", "e3")
 
 
-def sketches(h, first, ranges: int) -> pa.Array:
-    """How many shingles of each set fall into each of so many ranges of hashes, one byte each.
+def sketches(h, first, ranges: np.ndarray) -> pa.Array:
+    """How many shingles of each set fall into each of its ranges of hashes (a power of two), one byte each.
 
     The sum of the smaller counts bounds the overlap of two sets from above.  A set with a
     count over 254 has 255 throughout, which bounds nothing.
     """
     n = len(first) - 1
+    start = np.concatenate([[0], np.cumsum(ranges)])
     doc = np.repeat(np.arange(n), np.diff(first))
-    part = ((h >> _U(40)) % _U(ranges)).astype(np.int64)
-    count = np.bincount(doc * ranges + part, minlength=n * ranges).reshape(n, ranges)
-    count[count.max(1) > 254] = 255
-    flat = np.ascontiguousarray(count.astype(np.uint8)).reshape(-1)
-    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(np.arange(n + 1, dtype=np.int64) * ranges), pa.py_buffer(flat)]).cast(pa.binary())
+    part = ((h >> _U(40)) & (ranges[doc] - 1).astype(np.uint64)).astype(np.int64)
+    count = np.bincount(start[doc] + part, minlength=int(start[-1]))
+    if n:
+        count[np.repeat(np.maximum.reduceat(count, start[:-1]) > 254, ranges)] = 255
+    flat = np.ascontiguousarray(count.astype(np.uint8))
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(start.astype(np.int64)), pa.py_buffer(flat)]).cast(pa.binary())
+
+
+def fine_ranges(n: np.ndarray) -> np.ndarray:
+    """Ranges of each set's fine sketch: RANGES, and from there on at most four shingles a range.
+
+    With many shingles to a range the smaller counts add up to nearly the whole set, whatever the sets hold.
+    """
+    return np.clip(1 << np.ceil(np.log2(np.maximum(n, 1) / 4)).clip(0).astype(np.int64), RANGES, MOST_RANGES)
 
 
 NO_SKETCH, NO_ROUGH = b"\xff" * RANGES, b"\xff" * ROUGH
@@ -131,7 +142,7 @@ def nodes(docs: DataFrame, hot, percent: int) -> DataFrame:
             for part in text_chunks(batch):
                 h, first = ordered_sets(Texts(part.column("text")), table)
                 n, _, sig, group = described(h, first, percent)
-                cols = [part.column("k"), part.column("did"), pa.array(n), pa.array(sig), pa.array(group), sketches(h, first, RANGES), sketches(h, first, ROUGH)]
+                cols = [part.column("k"), part.column("did"), pa.array(n), pa.array(sig), pa.array(group), sketches(h, first, fine_ranges(n)), sketches(h, first, np.full(len(n), ROUGH))]
                 yield pa.RecordBatch.from_arrays(cols, ["k", "did", "n", "sig", "g", "sk", "rough"])
 
     return docs.mapInArrow(run, "k long, did long, n long, sig long, g long, sk binary, rough binary")
@@ -285,12 +296,19 @@ def plausible(pairs: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             keep = np.ones(batch.num_rows, bool)
-            nx, ny = (batch.column(c).to_numpy() for c in ("nx", "ny"))
+            nx, ny = (batch.column(c).to_numpy().astype(np.int64) for c in ("nx", "ny"))
             need = -(-(nx + ny) * percent // (100 + percent))
-            for at in range(0, batch.num_rows, 1 << 14):
-                a, b = (Texts(batch.column(c).slice(at, 1 << 14)).data.reshape(-1, RANGES) for c in ("skx", "sky"))
-                keep[at : at + (1 << 14)] = np.minimum(a, b).sum(1, dtype=np.int64) >= need[at : at + (1 << 14)]
-            keep |= np.maximum(nx, ny) > SKETCH_LIMIT
+            a, b = (Texts(batch.column(c)) for c in ("skx", "sky"))
+            la, lb = np.diff(a.offsets), np.diff(b.offsets)
+            for wa, wb in set(zip(la.tolist(), lb.tolist(), strict=True)):
+                rows, small = np.flatnonzero((la == wa) & (lb == wb)), min(wa, wb)
+                step = max(1, (1 << 21) // max(wa, wb))
+                for i in (rows[at : at + step] for at in range(0, len(rows), step)):
+                    one, two = (t.data[t.offsets[i][:, None] + np.arange(w)] for t, w in ((a, wa), (b, wb)))
+                    open_ = (one[:, 0] == 255) | (two[:, 0] == 255)  # one that bounds nothing
+                    # the larger sketch folds onto the ranges of the smaller one
+                    one, two = (v.reshape(len(i), -1, small).sum(1, dtype=np.int64) for v in (one, two))
+                    keep[i] = open_ | (np.minimum(one, two).sum(1) >= need[i])
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("x", "y")], ["x", "y"]).filter(pa.array(keep))
 
     for side in "xy":
@@ -298,6 +316,19 @@ def plausible(pairs: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
     return pairs.select("x", "y", "nx", "ny", "skx", "sky").mapInArrow(run, "x long, y long")
 
 
+def maybe_named(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """Rows of docs whose k may be in named, so that the exchange before the exact join leaves out the rest.
+
+    A bit array of FILTER_BITS hashed bits, at most FILTER_BITS / BITMAP rows of 4 KB however many
+    keys there are; with more keys than bits it only lets more rows through.
+    """
+    bit = F.pmod(F.xxhash64("k"), F.lit(FILTER_BITS))
+    bits = named.select(bit.alias("bit")).groupBy(F.expr(f"bit div {BITMAP}").alias("part")).agg(F.bitmap_construct_agg(F.expr(f"bit % {BITMAP}")).alias("bits"))
+    docs = docs.withColumn("bit", bit).withColumn("part", F.expr(f"bit div {BITMAP}")).join(F.broadcast(bits), "part")
+    byte = F.expr(f"cast(conv(hex(substring(bits, cast((bit % {BITMAP}) div 8 + 1 as int), 1)), 16, 10) as int)")
+    return docs.where(byte.bitwiseAND(F.expr("shiftleft(1, cast(bit % 8 as int))")) != 0).select("k", "text")
+
+
 def linked(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Of pairs (u, v, ku, kv) of nodes and documents that hold them, those that link: (u, v).
 
@@ -307,24 +338,25 @@ def linked(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            # one exchange row holds two texts; equal neighbours on either side are read once
+            # one exchange row holds two texts; of equal ones in a slice one is read
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                x, fx = sets_of(part.column("tx"))
-                y, fy = sets_of(part.column("ty"))
+                x, fx, ix = sets_of(part.column("tx"))
+                y, fy, iy = sets_of(part.column("ty"))
                 ok = []
-                for i in range(part.num_rows):
-                    a, b = x[fx[i] : fx[i + 1]], y[fy[i] : fy[i + 1]]
+                for i, j in zip(ix, iy, strict=True):
+                    a, b = x[fx[i] : fx[i + 1]], y[fy[j] : fy[j + 1]]
                     both = len(np.intersect1d(a, b, assume_unique=True))
                     ok.append(100 * both >= percent * (len(a) + len(b) - both))
                 keep = pa.array(ok, pa.bool_())
                 yield pa.RecordBatch.from_arrays([part.column("u").filter(keep), part.column("v").filter(keep)], ["u", "v"])
 
     def sets_of(column):
-        return ordered_sets(Texts(column), np.zeros(0, np.uint64))
+        coded = column.dictionary_encode()
+        return *ordered_sets(Texts(coded.dictionary), np.zeros(0, np.uint64)), coded.indices.to_pylist()
 
     named = pairs.select(F.col("ku").alias("k")).unionByName(pairs.select(F.col("kv").alias("k"))).distinct()
-    texts = docs.select("k", "text").join(named, "k", "left_semi").repartition("k")
+    texts = maybe_named(docs.select("k", "text"), named).join(named, "k", "left_semi").repartition("k")
     with_v = pairs.join(texts.withColumnsRenamed({"k": "kv", "text": "ty"}), "kv").select("u", "v", "ku", "ty")
     both = with_v.join(texts.withColumnsRenamed({"k": "ku", "text": "tx"}), "ku").select("u", "v", "tx", "ty")
     return both.mapInArrow(run, "u long, v long")
