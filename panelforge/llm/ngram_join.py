@@ -356,7 +356,7 @@ def linked(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
         return *ordered_sets(Texts(coded.dictionary), np.zeros(0, np.uint64)), coded.indices.to_pylist()
 
     named = pairs.select(F.col("ku").alias("k")).unionByName(pairs.select(F.col("kv").alias("k"))).distinct()
-    texts = maybe_named(docs.select("k", "text"), named).join(named, "k", "left_semi").repartition("k")
+    texts = maybe_named(docs.select("k", "text"), named).join(named, "k").repartition("k")
     with_v = pairs.join(texts.withColumnsRenamed({"k": "kv", "text": "ty"}), "kv").select("u", "v", "ku", "ty")
     both = with_v.join(texts.withColumnsRenamed({"k": "ku", "text": "tx"}), "ku").select("u", "v", "tx", "ty")
     return both.mapInArrow(run, "u long, v long")
