@@ -186,6 +186,15 @@ def chunks(column_lengths: np.ndarray, limit: int = CHUNK_BYTES):
 kept: list = []
 
 
+def hand_back():
+    """Hand pages that this process no longer uses back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library: the allocator keeps its pages
+
+
 def let_go(owner: str | None):
     """Drop what other kernels keep in this worker, which Spark reuses, and hand the pages back."""
     others = [k for k in kept if k[0] != owner]
@@ -193,11 +202,7 @@ def let_go(owner: str | None):
         kept[:] = [k for k in kept if k[0] == owner]
         for _, drop in others:
             drop()
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (OSError, AttributeError):
-            pass  # another C library: the allocator keeps its pages
+        hand_back()
 
 
 def text_chunks(batch: pa.RecordBatch, column="text", limit: int = CHUNK_BYTES, owner: str | None = None):

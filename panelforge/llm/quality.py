@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import Texts, small_batches, text_chunks
+from panelforge.llm.common import Texts, hand_back, small_batches, text_chunks
 
 PASSAGE, CLASSES, BIGRAMS, HIDDEN = 512, 64, 128, 24
 WIDTH = CLASSES + BIGRAMS
@@ -169,6 +169,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, most: int = 16_0
     rows = (
         docs.join(known(keys), "doc_id").mapInArrow(run, "doc_id long, label double, x binary").orderBy("doc_id", F.xxhash64("x")).toArrow()
     )  # at most `most` passages of 4 * WIDTH bytes
+    model = fitted(rows)
+    del rows
+    hand_back()  # the driver keeps nothing of the sample
+    return model
+
+
+def fitted(rows: pa.Table) -> Attention:
+    """The model of rows (label, x)."""
     if not rows.num_rows:
         model = Attention(np.zeros(WIDTH), np.ones(WIDTH))
         model.p["c"][:] = 0
