@@ -75,15 +75,28 @@ def detect_stockouts(df: DataFrame, min_run: int = 2, id_col=ID, time=TIME, valu
 
 
 def seasonal_impute(df: DataFrame, flag="is_stockout", freq="W", id_col=ID, time=TIME, value=VALUE) -> DataFrame:
-    """Flagged values from one season earlier; if that is not positive, the mean of its neighbours."""
-    season = calendar.frequency(freq).season
-    base = df.select(id_col, F.col(time).alias("_t"), F.col(value).alias("_v"))
-    # each row offers itself to the dates one season later, and one period about them: one join instead of three
-    offers = base.select(id_col, "_v", F.explode(F.array(*[F.struct(calendar.shift(F.col("_t"), season + k, freq).alias(time), F.lit(k).alias("k")) for k in (-1, 0, 1)])).alias("o"))
-    offers = offers.select(id_col, F.col("o")[time].alias(time), F.col("o.k").alias("k"), "_v").groupBy(id_col, time).agg(
-        F.max(F.when(F.col("k") == 0, F.col("_v"))).alias("_s"), F.avg(F.when(F.col("k") != 0, F.col("_v"))).alias("_n")
-    )
-    out = df.join(offers, [id_col, time], "left")
+    """Flagged values from one season earlier; if that is not positive, the mean of its neighbours.
+
+    Days and weeks lie a fixed number of days apart: ranges of dates in the series' window, so a panel
+    that is dealt by series stays where it is.  Months and quarters are looked up by a join.
+    """
+    season, days = calendar.frequency(freq).season, calendar.frequency(freq).days
+    if freq in ("D", "W"):
+        w = W.partitionBy(id_col).orderBy("_d")
+        at = {k: w.rangeBetween(-(season + k) * days, -(season + k) * days) for k in (-1, 0, 1)}
+        total, n = (sum(F.coalesce(f(value).over(at[k]), F.lit(0)) for k in (-1, 1)) for f in (F.sum, F.count))
+        # as in a join on dates, a series or a date that is null meets nothing, nor does a time within a day
+        known = F.col(id_col).isNotNull() & (F.col(time) == F.col(time).cast("date"))
+        out = df.withColumn("_d", F.unix_date(F.col(time).cast("date")))
+        out = out.withColumns({"_s": F.when(known, F.max(value).over(at[0])), "_n": F.when(known, F.try_divide(total, n))}).drop("_d")
+    else:
+        base = df.select(id_col, F.col(time).alias("_t"), F.col(value).alias("_v"))
+        # each row offers itself to the dates one season later, and one period about them: one join instead of three
+        offers = base.select(id_col, "_v", F.explode(F.array(*[F.struct(calendar.shift(F.col("_t"), season + k, freq).alias(time), F.lit(k).alias("k")) for k in (-1, 0, 1)])).alias("o"))
+        offers = offers.select(id_col, F.col("o")[time].alias(time), F.col("o.k").alias("k"), "_v").groupBy(id_col, time).agg(
+            F.max(F.when(F.col("k") == 0, F.col("_v"))).alias("_s"), F.avg(F.when(F.col("k") != 0, F.col("_v"))).alias("_n")
+        )
+        out = df.join(offers, [id_col, time], "left")
     new = F.when(F.col("_s") > 0, F.col("_s")).otherwise(F.coalesce("_n", value))
     return out.withColumn(value, F.when(F.col(flag), new).otherwise(F.col(value))).drop("_s", "_n")
 

@@ -42,14 +42,15 @@ def fill_gaps(df: DataFrame, freq: str = "W", strategy: str = "zero", fill: floa
     The grid runs between the dates of the whole panel, or of each series with per_series.
     strategy: zero fills with `fill`; ffill carries values forward, then back at the start.
     Columns other than the target stay null on new rows.
+
+    On the panel's grid a row is followed by the periods that are missing up to its series' next row:
+    the rows are dealt by series once, and the grid, which may be many times larger, is never dealt.
     """
     if per_series:
         grid = df.groupBy(id_col).agg(F.min(time).alias("a"), F.max(time).alias("b")).select(id_col, F.explode(calendar.grid(F.col("a"), F.col("b"), freq)).alias(time))
+        out = grid.join(df, [id_col, time], "left")
     else:
-        # one row of bounds meets the distinct ids: the sequence is exploded per id, no all-pairs join of data
-        bounds = df.agg(F.min(time).alias("a"), F.max(time).alias("b")).select(calendar.grid(F.col("a"), F.col("b"), freq).alias("grid"))
-        grid = df.select(id_col).distinct().join(F.broadcast(bounds)).select(id_col, F.explode("grid").alias(time))
-    out = grid.join(df, [id_col, time], "left")
+        out = on_grid(df, freq, id_col, time)
     if strategy == "zero":
         return out.withColumn(value, F.coalesce(value, F.lit(fill)))
     if strategy != "ffill":
@@ -57,6 +58,23 @@ def fill_gaps(df: DataFrame, freq: str = "W", strategy: str = "zero", fill: floa
     return out.withColumn(value, carried(F.col(value), id_col, time))
 
 
+def on_grid(df: DataFrame, freq: str, id_col=ID, time=TIME) -> DataFrame:
+    """Every series on the grid of the whole panel, as a left join of the grid would give it: rows off the
+    grid go, equal dates stay as many, and a null series has new rows only."""
+    rest = [c for c in df.columns if c not in (id_col, time)]
+    bounds = df.agg(F.min(time).alias("a"), F.max(time).alias("b"))
+    grid = bounds.select(calendar.grid(F.col("a"), F.col("b"), freq).alias("grid")).scalar()
+    near = calendar.periods_between(F.get(grid, F.lit(0)), F.col(time), freq).cast("int")
+    # a month's last days may lie a period further than they count
+    place = F.when(F.get(grid, near) == F.col(time), near).when(F.get(grid, near + 1) == F.col(time), near + 1)
+    df = df.withColumn("_i", F.coalesce(F.when(F.col(id_col).isNotNull(), place), F.lit(-1)))
+    w = W.partitionBy(id_col).orderBy("_i")
+    first, following = F.lag("_i").over(w).isNull(), F.coalesce(F.lead("_i").over(w), F.size(grid))
+    df = df.withColumns({"_a": F.when(first, 0).otherwise(F.greatest("_i", F.lit(0))), "_b": F.greatest(following - 1, "_i")})
+    df = df.where("_b >= _a").withColumn("_j", F.explode(F.sequence("_a", "_b")))
+    return df.select(id_col, F.get(grid, F.col("_j")).alias(time), *[F.when(F.col("_j") == F.col("_i"), F.col(c)).alias(c) for c in rest])
+
+
 def carried(value: Column, id_col=ID, time=TIME) -> Column:
     """Last value so far, or else the first to come."""
     w = W.partitionBy(id_col).orderBy(time)

@@ -68,6 +68,34 @@ def test_seasonal_impute(spark):
     assert values(out)[52] == 4.0
 
 
+def test_seasonal_impute_neighbours_and_nulls(spark):
+    v = [8.0, 0.0, 2.0] + [1.0] * 50 + [0.0, 0.0]
+    df = series(spark, v).unionByName(series(spark, v).withColumn("series_id", F.lit(None).cast("string")))
+    out = cleansing.seasonal_impute(df.withColumn("is_stockout", F.col("quantity") == 0)).where("series_id IS NOT NULL")
+    assert values(out)[53:] == [5.0, 2.0]  # week 1 is no more than 0: the mean of weeks 0 and 2
+    null = cleansing.seasonal_impute(df.withColumn("is_stockout", F.col("quantity") == 0)).where("series_id IS NULL")
+    assert values(null)[53:] == [0.0, 0.0]
+    noon = df.selectExpr("series_id", "CAST(week AS timestamp) + INTERVAL 12 HOURS AS week", "quantity")
+    assert values(cleansing.seasonal_impute(noon.where("series_id IS NOT NULL").withColumn("is_stockout", F.col("quantity") == 0)))[53:] == [0.0, 0.0]
+
+
+def test_imputing_a_filled_panel_deals_its_rows_once(spark):
+    filled = panel.fill_gaps(series(spark, [1, 0, 3]))
+    plan = cleansing.seasonal_impute(cleansing.detect_stockouts(filled))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_fill_gaps_off_the_grid_repeated_and_null(spark):
+    day = lambda d: dt.date(2024, 1, d)
+    rows = [("a", day(8), 1.0), ("a", day(8), 2.0), ("a", day(10), 9.0), ("b", day(1), 3.0), ("b", day(22), 4.0), (None, day(8), 5.0), ("c", None, 6.0)]
+    out = panel.fill_gaps(spark.createDataFrame(rows, "series_id string, week date, quantity double"))
+    got = {k: sorted((r.week.day, r.quantity) for r in out.collect() if r.series_id == k) for k in ("a", "b", "c", None)}
+    nothing = [(1, 0.0), (8, 0.0), (15, 0.0), (22, 0.0)]
+    assert got == {"a": [(1, 0.0), (8, 1.0), (8, 2.0), (15, 0.0), (22, 0.0)], "b": [(1, 3.0), (8, 0.0), (15, 0.0), (22, 4.0)], "c": nothing, None: nothing}
+    ends = [("a", dt.date(2024, m, d), float(m)) for m, d in ((1, 30), (2, 29), (4, 30))]
+    assert values(panel.fill_gaps(spark.createDataFrame(ends, "series_id string, week date, quantity double"), "M")) == [1.0, 2.0, 0.0, 4.0]
+
+
 def test_outliers_and_constant_series(spark):
     df = series(spark, [5, 5, 5, 5, 50]).unionByName(series(spark, [3] * 5, "b"))
     assert values(cleansing.outliers_iqr(df), "is_outlier") == [False] * 4 + [True] + [False] * 5
