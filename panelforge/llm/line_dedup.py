@@ -5,10 +5,11 @@ first stands.  Each line of length l is cut into TAU + 1 segments; a line within
 one of them as a substring at a place that its length and the segment's number bound, so it
 probes an index keyed by (length, number, segment).  Candidates are verified by edit distance.
 
-Where many different lines share a segment (over HOT), near copies as a rule, a second level
-replaces the key.  What lies left and right of the segment is described by counts of LETTERS on
-each side; an edit changes two of them at most, so of GROUPS groups of counts all but 2 TAU are
-equal, and the lines meet under every choice of that many groups.  That is exact, too.
+Where more than FEW different lines share a segment, near copies as a rule, what lies left and
+right of the segment is described by counts of LETTERS on each side; an edit changes two of them
+at most, so lines whose counts differ by more than 2 TAU are no pair.  Where over HOT lines share
+it, a second level replaces the key, too: of 2 TAU + 3 groups of counts all but 2 TAU are equal, and
+the lines meet under every choice of that many groups.  Both are exact.
 
 Equal lines are those with two equal hashes of 64 bits, drawn with independent seeds.
 
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from panelforge.llm.common import doc_id, durable, keyed
 
 TAU, MIN_CHARS = 2, 20
-HOT, LETTERS = 32, "etaoinshrdlucmwfgypbvk ,."
+FEW, HOT, LETTERS = 4, 32, "etaoinshrdlucmwfgypbvk ,."
 
 
 def cuts(lines: DataFrame, moves: list[tuple[int, int, int]], tau: int) -> DataFrame:
@@ -53,27 +54,32 @@ def keys(lines: DataFrame, moves: list[tuple[int, int, int]], tau: int) -> DataF
     return cuts(lines, moves, tau).select("k", "at", "key")
 
 
-def second_keys(hot: DataFrame, moves: list[tuple[int, int, int]], tau: int) -> DataFrame:
-    """(k, at, key2, last, groups, counts) of lines (k, at, line, n) under their hot keys: a row for
-    each choice of groups of counts, of which last is the last."""
-    x = cuts(hot, moves, tau).where(F.array_contains("hot", F.col("key")))
-    sides = F.substring("line", F.lit(1), F.col("place")), F.substr("line", F.col("place") + F.col("size") + 1)
-    counts = F.array(*[F.length(s) - F.length(F.translate(s, c, "")) for c in LETTERS for s in sides])
-    x = x.select("k", "at", "key", once(counts).alias("counts"))
+def second_keys(lines: DataFrame, moves: list[tuple[int, int, int]], tau: int) -> DataFrame:
+    """(k, at, key2, many, last, groups, counts) of lines (k, at, line, n, asked) under the keys asked for: a row
+    for a warm key, and for a hot one (many) a row for each choice of groups of counts, of which last is the last."""
     of, n = 2 * tau + 3, 2 * len(LETTERS)
-    x = x.select("k", "at", "key", "counts", once(F.array(*[F.xxhash64(F.lit(g), *[F.col("counts")[i] for i in range(g, n, of)]) for g in range(of)])).alias("groups"))
+
+    def under(hot: bool) -> DataFrame:
+        x = cuts(lines, moves, tau).where(F.array_contains("asked", F.struct(F.col("key"), F.lit(hot).alias("hot"))))
+        sides = F.substring("line", F.lit(1), F.col("place")), F.substr("line", F.col("place") + F.col("size") + 1)
+        counts = F.array(*[F.length(s) - F.length(F.translate(s, c, "")) for c in LETTERS for s in sides])
+        x = x.select("k", "at", "key", once(counts).alias("counts"))
+        return x.select("k", "at", "key", "counts", once(F.array(*[F.xxhash64(F.lit(g), *[F.col("counts")[i] for i in range(g, n, of)]) for g in range(of)])).alias("groups"))
+
+    warm = under(False).select("k", "at", F.col("key").alias("key2"), F.lit(False).alias("many"), F.lit(0).alias("last"), "groups", "counts")
     chosen = [F.struct(F.xxhash64("key", *[F.col("groups")[j] for j in c]).alias("key2"), F.lit(c[-1]).alias("last")) for c in itertools.combinations(range(of), of - 2 * tau)]
-    return x.select("k", "at", "counts", "groups", F.explode(F.array(*chosen)).alias("c")).select("k", "at", "c.key2", "c.last", "groups", "counts")
+    hot = under(True).select("k", "at", "counts", "groups", F.explode(F.array(*chosen)).alias("c"))
+    return warm.unionByName(hot.select("k", "at", "c.key2", F.lit(True).alias("many"), "c.last", "groups", "counts"))
 
 
-def second_pairs(hot: DataFrame, tau: int) -> DataFrame:
-    """(k, at, k2, at2) of lines under a hot key whose counts differ by no more than the edits allow;
-    a pair is made under the first choice of groups that agree."""
-    one = second_keys(hot, index_moves(tau), tau)
-    two = second_keys(hot, probe_moves(tau), tau).select(F.col("k").alias("k2"), F.col("at").alias("at2"), "key2", F.col("groups").alias("groups2"), F.col("counts").alias("counts2"))
+def second_pairs(lines: DataFrame, tau: int) -> DataFrame:
+    """(k, at, k2, at2) of lines under a warm or hot key whose counts differ by no more than the edits allow;
+    under a hot key a pair is made under the first choice of groups that agree."""
+    one = second_keys(lines, index_moves(tau), tau)
+    two = second_keys(lines, probe_moves(tau), tau).select(F.col("k").alias("k2"), F.col("at").alias("at2"), "key2", F.col("groups").alias("groups2"), F.col("counts").alias("counts2"))
     first = F.size(F.filter(F.sequence(F.lit(0), F.col("last")), lambda i: F.get("groups", i) == F.get("groups2", i))) == 3
     apart = F.aggregate(F.zip_with("counts", "counts2", lambda a, b: F.abs(a - b)), F.lit(0), lambda a, b: a + b)
-    met = (one["key2"] == two["key2"]) & (F.struct("k", "at") != F.struct(F.col("k2").alias("k"), F.col("at2").alias("at"))) & first & (apart <= 2 * tau)
+    met = (one["key2"] == two["key2"]) & (F.struct("k", "at") != F.struct(F.col("k2").alias("k"), F.col("at2").alias("at"))) & (~F.col("many") | first) & (apart <= 2 * tau)
     return one.join(two, met).select("k", "at", "k2", "at2")
 
 
@@ -123,21 +129,23 @@ def dedup_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, car
     lines = here.select("k", F.explode(F.transform("ats", lambda a: F.struct(a.alias("at"), F.get("lines", a).alias("line")))).alias("l"))
     lines = lines.select("k", "l.at", "l.line", F.char_length("l.line").alias("n"))
     index, probe = keys(lines, index_moves(tau), tau), keys(lines, probe_moves(tau), tau)
-    # a key over HOT is met in one row only: every line under it also probes it with its own segment
+    few = min(FEW, HOT)
+    # a key over few is met in one row only: every line under it also probes it with its own segment
     of_key = Window.partitionBy("key")
-    index = index.select("k", "at", "key", F.count("*").over(of_key).alias("m"), F.row_number().over(of_key.orderBy("k", "at")).alias("row")).where((F.col("m") <= HOT) | (F.col("row") == 1))
+    index = index.select("k", "at", "key", F.count("*").over(of_key).alias("m"), F.row_number().over(of_key.orderBy("k", "at")).alias("row")).where((F.col("m") <= few) | (F.col("row") == 1))
     a, b = F.struct("k", "at"), F.struct(F.col("k2").alias("k"), F.col("at2").alias("at"))
-    many = F.col("m") > HOT
-    met = index.join(other(probe), "key").where(many | (a != b)).select("k2", "at2", F.struct(F.when(many, F.col("key")).alias("key"), F.when(~many, a).alias("a")).alias("met"))
+    many = F.col("m") > few
+    met = index.join(other(probe), "key").where(many | (a != b)).select("k2", "at2", F.struct(F.when(many, F.col("key")).alias("key"), (F.col("m") > HOT).alias("hot"), F.when(~many, a).alias("a")).alias("met"))
     # one column, so that both uses read one exchange
     met = met.groupBy("k2", "at2").agg(F.collect_set("met").alias("met"))
     first_level = met.select("k2", "at2", F.explode("met").alias("m")).where("m.a IS NOT NULL").select("m.a.k", "m.a.at", "k2", "at2")
-    # lines under hot keys, read again; a line's hot keys are at most as many as its moves
-    by_line = met.select(F.col("k2").alias("k"), F.struct(F.col("at2").alias("at"), F.filter(F.transform("met", lambda x: x["key"]), lambda x: x.isNotNull()).alias("hot")).alias("line"))
-    asked = by_line.where(F.size("line.hot") > 0).groupBy("k").agg(F.collect_list("line").alias("asked"))
+    # lines under warm and hot keys, read again; a line's such keys are at most as many as its moves
+    keys_met = F.transform(F.filter("met", lambda x: x["key"].isNotNull()), lambda x: F.struct(x["key"].alias("key"), x["hot"].alias("hot")))
+    by_line = met.select(F.col("k2").alias("k"), F.struct(F.col("at2").alias("at"), keys_met.alias("asked")).alias("line"))
+    asked = by_line.where(F.size("line.asked") > 0).groupBy("k").agg(F.collect_list("line").alias("asked"))
     here = dealt.join(asked.hint("shuffle_hash"), "k").select("k", "asked", once(split).alias("lines"))
-    again = here.select("k", F.explode(F.transform("asked", lambda a: F.struct(a["at"].alias("at"), a["hot"].alias("hot"), F.get("lines", a["at"]).alias("line")))).alias("l"))
-    again = again.select("k", "l.at", "l.hot", "l.line", F.char_length("l.line").alias("n")).repartition("k", "at")
+    again = here.select("k", F.explode(F.transform("asked", lambda a: F.struct(a["at"].alias("at"), a["asked"].alias("asked"), F.get("lines", a["at"]).alias("line")))).alias("l"))
+    again = again.select("k", "l.at", "l.asked", "l.line", F.char_length("l.line").alias("n")).repartition("k", "at")
     pairs = first_level.unionByName(second_pairs(again, tau))
     pairs = pairs.where(a != b).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
     pairs = pairs.select(F.col("a.k").alias("k"), F.col("a.at").alias("at"), F.col("b.k").alias("k2"), F.col("b.at").alias("at2"))

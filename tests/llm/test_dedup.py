@@ -227,6 +227,30 @@ def test_line_join_finds_every_pair(documents, monkeypatch, hot):
     assert sorted((order(x.doc_id), x.n_lines, x.n_removed, x.text) for x in got) == brute_lines(rows)
 
 
+@pytest.mark.parametrize("few, hot", [(1, 32), (1, 8), (4, 8)])
+def test_warm_segments_meet_by_counts(documents, monkeypatch, few, hot):
+    monkeypatch.setattr(line_dedup, "FEW", few)
+    monkeypatch.setattr(line_dedup, "HOT", hot)
+    r = np.random.default_rng(5)
+    rows = [(i, "".join(r.choice(list("ab"), 24))) for i in range(80)]
+    got = line_dedup.dedup_lines(documents(rows)).collect()
+    assert sorted((order(x.doc_id), x.n_lines, x.n_removed, x.text) for x in got) == brute_lines(rows)
+
+
+def test_segment_of_a_group_makes_few_pairs(documents):
+    """Thirty lines share a segment and differ widely elsewhere: candidates are few, not all pairs."""
+    r = np.random.default_rng(7)
+    rows = [(i, "the segment that all share." + "".join(r.choice(list("etaoinshrd"), 54))) for i in range(30)] + [(30, "the segment that all share." + "x" * 54), (31, "the segment that all share." + "x" * 53 + "y")]
+    lines = documents(rows).selectExpr("doc_id AS k", "0 AS at", "text AS line", "length(text) AS n")
+    keys = line_dedup.keys(lines, line_dedup.index_moves(2), 2).groupBy("key").count()
+    shared = [x.key for x in keys.where("count > 4").collect()]
+    asked = lines.selectExpr("*", f"array({', '.join(f"struct({x}L AS key, false AS hot)" for x in shared)}) AS asked")
+    pairs = {(x.k, x.k2) for x in line_dedup.second_pairs(asked, 2).collect()}
+    assert {(30, 31), (31, 30)} <= pairs and len(pairs) < 30
+    got = {x.doc_id: x.n_removed for x in line_dedup.dedup_lines(documents(rows)).collect()}
+    assert got == {i: int(i == 31) for i in range(32)}
+
+
 def test_many_near_copies_of_one_line(documents):
     """Lines that share their segments, most of them further than two edits from each other."""
     r = np.random.default_rng(11)
