@@ -5,16 +5,19 @@ from __future__ import annotations
 import ctypes
 import re
 import tempfile
+import time
 import uuid
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_ID = 2**63 - 1
 CHUNK_BYTES = 1 << 19  # text handled at once by the vectorised kernels
 BATCH_BYTES = 4 << 20  # bytes of one Arrow batch between the JVM and Python
+REST_S = 5  # seconds between two rests of the driver's JVM
 _U = np.uint64
 
 
@@ -43,9 +46,35 @@ def durable(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and reread it: lineage ends there, lost executors lose nothing."""
     path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    rest(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_rested = [float("-inf")]
+
+
+def rest(spark: SparkSession):
+    """The driver's JVM collects what ended plans and their broadcasts left and hands free pages back, at most every REST_S seconds.
+
+    Left alone, it grows its heap before it looks for garbage, and what the compiler threads free stays with the
+    C library.  Shuffle files that nothing refers to go at the same time.
+    """
+    if time.monotonic() - _rested[0] < REST_S:
+        return
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    jvm.System.gc()
+    try:  # by reflection, as the bean server's own class is not open
+        named = jvm.java.lang.Class.forName
+        kinds, args = gateway.new_array(jvm.java.lang.Class, 4), gateway.new_array(jvm.java.lang.Object, 4)
+        for i, kind in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+            kinds[i] = named(kind)
+        args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        named("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+    except Py4JError:
+        pass  # another JVM: it keeps its pages
+    _rested[0] = time.monotonic()
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """(k, did, text): did orders documents (null ids last), k identifies rows.
 

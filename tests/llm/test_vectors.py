@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from panelforge.llm import near_vectors, topk
+from panelforge.llm.common import durable
 from panelforge.llm.components import components
 
 SCHEMA = "vec_id long, embedding array<float>, label int, rank int, score long"
@@ -108,3 +109,58 @@ def test_components(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {i: 1 for i in range(2, 41)} | {i: 100 for i in range(101, 140)}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_components_of_few_edges_take_two_cuts(spark, monkeypatch):
+    from panelforge.llm import components as module
+
+    cuts = []
+    monkeypatch.setattr(module, "durable", lambda df: cuts.append(1) or durable(df))
+    edges = [(i, i + 1) for i in range(1, 200)]
+    assert {r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()} == {1}
+    assert len(cuts) == 2
+
+
+def test_components_that_tasks_left_apart(spark, monkeypatch):
+    """Without what tasks contract, stars alone end at the same components."""
+    from panelforge.llm import components as module
+
+    monkeypatch.setattr(module, "dealt", lambda edges: edges.distinct())
+    monkeypatch.setattr(module, "BLOCK", 0)
+    edges = [(i, i + 1) for i in range(1, 40)] + [(100, i) for i in range(101, 140)] + [(139, 38)] + [(500, 501)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {i: 1 for i in [*range(2, 41), *range(100, 140)]} | {501: 500}
+
+
+def test_stars_of_small_blocks_connect_the_same(monkeypatch):
+    import pyarrow as pa
+
+    from panelforge.llm import components as module
+
+    monkeypatch.setattr(module, "BLOCK", 16)
+    r = np.random.default_rng(3)
+    u, v = r.integers(-60, 60, 90), r.integers(-60, 60, 90)
+    batches = [pa.RecordBatch.from_pydict({"u": u[i : i + 7], "v": v[i : i + 7]}) for i in range(0, 90, 7)]
+    out = [(a, b) for x in module.stars_of(iter(batches)) for a, b in zip(x.column("u").to_pylist(), x.column("v").to_pylist(), strict=True)]
+    assert all(a > b for a, b in out)
+    a, b = (np.array(c) for c in zip(*out, strict=True))
+    want, got = module.contracted(u, v), module.contracted(a, b)
+    assert [x.tolist() for x in want] == [x.tolist() for x in got]
+    parent = {x: x for x in {*u.tolist(), *v.tolist()}}
+    for x, y in [*zip(u.tolist(), v.tolist(), strict=True)] * 90:
+        parent[x] = parent[y] = min(parent[x], parent[y])
+    assert dict(zip(*(x.tolist() for x in want), strict=True)) == {x: y for x, y in parent.items() if x != y}
+
+
+def test_a_cut_lets_the_drivers_jvm_collect(monkeypatch):
+    from unittest.mock import MagicMock
+
+    from panelforge.llm import common
+
+    frame = MagicMock()
+    frame.sparkSession.conf.get.return_value = "file:///shared"
+    gc = frame.sparkSession.sparkContext._jvm.System.gc
+    monkeypatch.setattr(common, "_rested", [float("-inf")])
+    common.durable(frame)
+    common.durable(frame)  # too soon for another rest
+    assert gc.call_count == 1
