@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 MAX_ID = 2**63 - 1
 CHUNK_BYTES = 1 << 19  # text handled at once by the vectorised kernels
 BATCH_BYTES = 4 << 20  # bytes of one Arrow batch between the JVM and Python
-REST_S = 5  # seconds between two rests of the driver's JVM
+REST_S, EXECUTORS_REST_S = 5, 15  # seconds between two rests of the driver's JVM, and of the executors'
 _U = np.uint64
 
 
@@ -37,7 +37,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """df, in a session whose Arrow batches are bounded in bytes, since texts have no bound in rows."""
+    """df, in a session whose Arrow batches are bounded in bytes, since texts have no bound in rows.
+
+    Operators begin with it, so the JVMs rest here before Python workers take texts.
+    """
+    rest(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df
 
@@ -50,18 +54,30 @@ def durable(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-_rested = [float("-inf")]
+_rested = [float("-inf"), float("-inf")]
 
 
 def rest(spark: SparkSession):
     """The driver's JVM collects what ended plans and their broadcasts left and hands free pages back, at most every REST_S seconds.
 
     Left alone, it grows its heap before it looks for garbage, and what the compiler threads free stays with the
-    C library.  Shuffle files that nothing refers to go at the same time.
+    C library.  Shuffle files that nothing refers to go at the same time.  A small query runs before: the listeners'
+    threads hold the last event, and with it the plan and the shuffle files of the query that ended last.  At most every
+    EXECUTORS_REST_S seconds its tasks, one a core, have the executors' JVMs collect, which keep a grown heap, too,
+    while the Python workers beside them need the memory.
     """
     if time.monotonic() - _rested[0] < REST_S:
         return
     jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    everywhere = time.monotonic() - _rested[1] >= EXECUTORS_REST_S
+    n = spark.sparkContext.defaultParallelism if everywhere else 1
+    spark.range(0, n, 1, n).select(F.expr("reflect('java.lang.System', 'gc')" if everywhere else "id")).write.format("noop").mode("overwrite").save()
+    if everywhere:
+        _rested[1] = time.monotonic()
+    try:
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+    except Py4JError:
+        pass  # listeners that lag: the next rest lets go of more
     jvm.System.gc()
     try:  # by reflection, as the bean server's own class is not open
         named = jvm.java.lang.Class.forName
