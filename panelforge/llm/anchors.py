@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import BYTE_POWERS, SPACE, WORD_POWERS, PrefixHash, Texts, mix, ragged, sliding_min, text_chunks
+from panelforge.llm.common import BATCH_BYTES, BYTE_POWERS, SPACE, WORD_POWERS, PrefixHash, Texts, mix, ragged, sliding_min, text_chunks
 
 RUN = "a long, k long, did long, start int, len int, twice boolean"
 
@@ -167,13 +167,21 @@ def binaries(data: np.ndarray, begin: np.ndarray, lens: np.ndarray) -> pa.Array:
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lens), [None, pa.py_buffer(offsets), pa.py_buffer(data[ragged(begin, lens)])]).cast(pa.binary())
 
 
+def combined(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """(a, region, n, lo, hi) of each different region of the rows (a, did, region)."""
+    out = pa.Table.from_batches(rows).group_by(["a", "region"], use_threads=False).aggregate([("did", "count"), ("did", "min"), ("did", "max")])
+    cols = [out.column(c).combine_chunks() for c in ("a", "region", "did_count", "did_min", "did_max")]
+    return pa.RecordBatch.from_arrays(cols, ["a", "region", "n", "lo", "hi"])
+
+
 def regions(docs: DataFrame, found: DataFrame, units, text: bool) -> DataFrame:
-    """The regions of recurring runs: (a, did, region) with text, else (a, k, did, start, r)."""
+    """The regions of recurring runs: with text (a, region, n, lo, hi), copies near each other in one row, else (a, k, did, start, r)."""
     import xxhash
 
-    schema = "a long, did long, region binary" if text else "a long, k long, did long, start int, r long"
+    schema = "a long, region binary, n long, lo long, hi long" if text else "a long, k long, did long, start int, r long"
 
     def run(batches):
+        rows, size = [], 0
         for batch in batches:
             for part in text_chunks(batch):
                 t = Texts(part.column("text"))
@@ -185,10 +193,16 @@ def regions(docs: DataFrame, found: DataFrame, units, text: bool) -> DataFrame:
                 take, a = pa.array(doc), fields.field("a")
                 did = part.column("did").take(take)
                 if text:
-                    yield pa.RecordBatch.from_arrays([a, did, out], ["a", "did", "region"])
+                    rows.append(pa.RecordBatch.from_arrays([a, did, out], ["a", "did", "region"]))
+                    size += out.nbytes
+                    if size > BATCH_BYTES:
+                        yield combined(rows)
+                        rows, size = [], 0
                 else:
                     r = np.fromiter((xxhash.xxh3_64_intdigest(o) for o in out.to_pylist()), np.uint64, len(out)).view(np.int64)
                     yield pa.RecordBatch.from_arrays([a, part.column("k").take(take), did, start, pa.array(r)], ["a", "k", "did", "start", "r"])
+        if rows:
+            yield combined(rows)
 
     here = docs.join(by_document(found, "a", "start", "len"), "k")
     return here.select("k", "did", "text", "runs").mapInArrow(run, schema)
@@ -200,9 +214,9 @@ GROUP_REGIONS, SLICE_BYTES = 50_000, 1 << 20
 
 
 def facts(distinct: DataFrame, units, solve) -> DataFrame:
-    """What `solve` finds of each distinct region (a, region, n, lo, hi), group by group.
+    """What `solve` finds of each distinct region (a, region, n, lo, hi), dealt by minimiser, group by group.
 
-    Rows arrive sorted by minimiser.  Whole groups are gathered into slices of bounded size
+    Rows arrive sorted by it.  Whole groups are gathered into slices of bounded size
     and solved.  A group of more regions than GROUP_REGIONS isn't gathered: its windows go out
     one by one as 128-bit hashes, and an aggregation, which has no such bound, settles them.
     """
@@ -253,7 +267,7 @@ def facts(distinct: DataFrame, units, solve) -> DataFrame:
         if whole:
             yield solved(whole)
 
-    found = durable(distinct.repartition("a").sortWithinPartitions("a").mapInArrow(run, FACT + LOOSE))
+    found = durable(distinct.sortWithinPartitions("a").mapInArrow(run, FACT + LOOSE))
     names = [c.split()[0] for c in FACT.split(", ")]
     sure, open_ = found.where("h1 IS NULL").select(names), found.where("h1 IS NOT NULL")
     if open_.limit(1).count():
@@ -280,7 +294,10 @@ def covers(docs: DataFrame, units, other_document: bool, solve) -> DataFrame:
     from panelforge.llm.common import durable
 
     found = durable(found)
-    distinct = regions(dealt, found, units, True).groupBy("a", "region").agg(F.count("*").alias("n"), F.min("did").alias("lo"), F.max("did").alias("hi"))
+    # one exchange of the regions' bytes serves the sums and the groups
+    distinct = regions(dealt, found, units, True).repartition("a").groupBy("a", "region").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    if docs.sparkSession.conf.get("spark.sql.requireAllClusterKeysForDistribution") == "true":
+        distinct = distinct.repartition("a")  # that session deals by all keys of a sum
     known = facts(distinct, units, solve)
     placed = regions(dealt, found, units, False).join(known, ["a", "r"])
     if units is Words:

@@ -3,7 +3,7 @@ import time
 
 import pytest
 
-from panelforge.llm import common
+from panelforge.llm import common, phrases
 
 
 @pytest.fixture
@@ -37,3 +37,18 @@ def test_executors_collect_too(spark, rested):
     before = collections()
     common.rest(spark)
     assert collections() == before  # not again so soon
+
+
+@pytest.mark.parametrize("remove", [phrases.remove_phrases])
+def test_regions_are_dealt_once(documents, monkeypatch, remove):
+    plans, durable = [], common.durable
+
+    def cut(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return durable(df)
+
+    monkeypatch.setattr(common, "durable", cut)
+    text = " ".join(f"some{i} words{i}" for i in range(90))
+    remove(documents([(1, text), (2, text), (3, text)]))
+    regions = [p for p in plans if "region#" in p]
+    assert len(regions) == 1 and regions[0].count("Exchange hashpartitioning(a#") == 1
