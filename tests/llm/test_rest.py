@@ -3,7 +3,7 @@ import time
 
 import pytest
 
-from panelforge.llm import common, phrases
+from panelforge.llm import common, phrases, substrings
 
 
 @pytest.fixture
@@ -39,7 +39,7 @@ def test_executors_collect_too(spark, rested):
     assert collections() == before  # not again so soon
 
 
-@pytest.mark.parametrize("remove", [phrases.remove_phrases])
+@pytest.mark.parametrize("remove", [phrases.remove_phrases, substrings.remove_substrings])
 def test_regions_are_dealt_once(documents, monkeypatch, remove):
     plans, durable = [], common.durable
 
