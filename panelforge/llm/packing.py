@@ -1,6 +1,6 @@
 """Best-fit packing by hierarchical residual packing.
 
-Documents become token ids (`tokenizers`, words remembered in a bounded memo) and an end
+Documents become token ids (`tokenizers`, each different word of some megabytes once) and an end
 id.  Full-length pieces are sequences of their own.  The rest is packed best-fit decreasing
 in hash buckets; nearly full bins go out, underfull ones become items of the next level,
 where groups of `fan` buckets are packed again, up to one bucket.  Each bucket holds a
@@ -14,34 +14,60 @@ doc_id is kept.  Only documents longer than the capacity are cut.
 
 from __future__ import annotations
 
-import array
+import itertools
 import json
 import os
-import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import durable, kept, small_batches, text_chunks
+from panelforge.llm.byte_bpe import byte_characters
+from panelforge.llm.common import durable, kept, ragged, small_batches, text_chunks
 
-#: Precomposed Latin letters, which every normal form of composition keeps.
+#: Precomposed Latin letters, which every normal form of composition keeps; ASCII marks are neither letters, digits nor white space.
 LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0134-\u017e"
-LATIN = re.compile(f"[{LETTER}]+")
-WHITE = "\x20\x09-\x0d"
-WORDS = re.compile(f"(?<![^{WHITE}])[{LETTER}]+(?=[.,]?(?![^{WHITE}]))|[^{WHITE}]+")
-MEMO_WORDS, MEMO_CHARS = 250_000, 48
+MARK = r"!-/:-@\[-`{-~"
+CHUNK = 1 << 22  # bytes of text whose different words are encoded together
+JOINED = 1024  # pieces that meet the tokenizer as one string
+MEMO_BYTES = 16 << 20  # strings, and their ids, of one memo of a worker
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 BUCKET_ITEMS = 16384
 
 
+class Memo:
+    """The ids of strings that were met; it starts anew where it would outgrow its bound."""
+
+    def __init__(self):
+        self.forget()
+
+    def forget(self):
+        self.known, self.ids, self.at = pa.array([], pa.string()), np.zeros(0, "<u4"), np.zeros(1, np.int64)
+
+    def look_up(self, parts: pa.Array, encode) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all parts, which differ, and where each part's begin (with the total last); new ones by `encode`."""
+        which = pc.fill_null(pc.index_in(parts, value_set=self.known), -1).to_numpy().astype(np.int64)
+        new = parts.filter(pa.array(which < 0))
+        which[which < 0] = len(self.known) + np.arange(len(new))
+        ids, at = encode(new)
+        self.ids, self.at = np.concatenate([self.ids, ids]), np.concatenate([self.at, at[1:] + len(self.ids)])
+        self.known = pa.concat_arrays([self.known, new])
+        out = picked(self.ids, self.at[which], np.diff(self.at)[which])
+        if self.known.nbytes + self.ids.nbytes + self.at.nbytes > MEMO_BYTES:
+            self.forget()
+        return out
+
+
 class WordCodec:
     """A tokenizer file whose words, split at ASCII white space, are independent.
 
-    A word of Latin letters, or such a word with a final point or comma, needs neither the
-    normaliser nor the splitting pattern: it is lower-cased and merged as one piece.
+    Each different word of a call is looked at once.  A word of Latin letters, or such a word with ASCII marks
+    at its end, needs neither the normaliser nor the splitting pattern: its letters are lower-cased, and letters
+    and marks are merged as one piece each.  Pieces not in the memo meet the tokenizer many at a time, joined by
+    spaces; the ids of tokens that end a word tell them apart again.
     """
 
     loaded: dict[str, "WordCodec"] = {}
@@ -52,12 +78,14 @@ class WordCodec:
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
-        bare = json.loads(self.model.to_str())
-        bare |= {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": False, "use_regex": False}}
-        self.pieces = Tokenizer.from_str(json.dumps(bare))
-        self.pieces.encode_special_tokens = True
-        self.memo: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        bare = json.loads(self.model.to_str()) | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
+        self.merger = Tokenizer.from_str(json.dumps(bare))
+        vocabulary = self.merger.get_vocab()
+        self.final = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.final[[i for t, i in vocabulary.items() if t.endswith(bare["model"]["end_of_word_suffix"])]] = True
+        self.shown = np.array([ord(c) for c in byte_characters()], "<u4")
+        self.shown[0x20] = 0x20
+        self.pieces, self.others = Memo(), Memo()
 
     @classmethod
     def of(cls, path: str) -> "WordCodec":
@@ -66,28 +94,54 @@ class WordCodec:
             kept.append(("packing", cls.loaded.clear))
         return cls.loaded[path]
 
-    def learn(self, model, words: list[str], keys: list[str]):
-        for k, e in zip(keys, model.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            self.memo[k] = array.array("I", e.ids).tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.memo) > MEMO_WORDS:
-            self.memo, self.older = {}, self.memo
-        memo, units = self.memo, [WORDS.findall(t) for t in texts]
-        new = set().union(*units) - memo.keys()
-        for w in new & self.older.keys():
-            memo[w] = self.older[w]
-        new = list(new - self.older.keys())
-        plain = [w for w in new if LATIN.fullmatch(w)]
-        other = [w for w in new if not LATIN.fullmatch(w)]
-        self.learn(self.pieces, [w.lower() for w in plain], plain)
-        self.learn(self.model, other, other)
-        out = [b"".join(map(memo.__getitem__, us)) for us in units]
-        for w in new:
-            if len(w) > MEMO_CHARS:
-                del memo[w]
-        return out
+    def merge(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces, and where each piece's begin (with the total last)."""
+        groups = pa.ListArray.from_arrays(pa.array([*range(0, len(pieces), JOINED), len(pieces)], pa.int32()), pieces)
+        groups = [self.shown[np.frombuffer(g.encode(), np.uint8)].tobytes().decode("utf-32-le") for g in pc.binary_join(groups, " ").to_pylist()]
+        ids = [np.array(e.ids, "<u4") for e in self.merger.encode_batch_fast(groups, add_special_tokens=False)]
+        ids = np.concatenate([np.zeros(0, "<u4"), *ids])
+        at = np.concatenate([[0], np.flatnonzero(self.final[ids]) + 1])
+        if len(at) != len(pieces) + 1 or at[-1] != len(ids):
+            raise ValueError("the tokenizer does not end each word with a token of its end-of-word suffix")
+        return ids, at
+
+    def each(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words that need all of the tokenizer."""
+        ids = [e.ids for e in self.model.encode_batch_fast(words.to_pylist(), add_special_tokens=False)]
+        return np.fromiter(itertools.chain.from_iterable(ids), "<u4"), np.cumsum([0, *map(len, ids)])
+
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same for any words."""
+        parted = pc.replace_substring_regex(words, f"^([{LETTER}]+)([{MARK}]+)$", r"\1 \2")
+        plain = pc.match_substring_regex(parted, f"^[{LETTER}]+( [{MARK}]+)?$")
+        ids, at = each_once(pc.utf8_lower(parted.filter(plain)), lambda p: self.pieces.look_up(p, self.merge))
+        plain = plain.to_numpy(zero_copy_only=False)
+        more, more_at = self.others.look_up(words.filter(pa.array(~plain)), self.each)
+        n, start = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        n[plain], n[~plain] = np.diff(at), np.diff(more_at)
+        start[plain], start[~plain] = at[:-1], len(ids) + more_at[:-1]
+        return picked(np.concatenate([ids, more]), start, n)
+
+    def encode(self, texts: pa.Array | list[str | None]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers; null is empty."""
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        ids, at = each_once(pc.fill_null(texts, "").cast(pa.string()), self.words)
+        return [ids[a:b].tobytes() for a, b in itertools.pairwise(at.tolist())]
+
+
+def picked(ids: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids in n places from each start, and where each one's begin (with the total last)."""
+    return ids[ragged(start, n)], np.concatenate([[0], np.cumsum(n)])
+
+
+def each_once(texts: pa.Array, encode) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts, and where each text's begin, by encoding each different part, split at ASCII white space, once."""
+    parts = pc.ascii_split_whitespace(texts)
+    known = parts.flatten().dictionary_encode()
+    ids, at = encode(known.dictionary)
+    which, first = known.indices.to_numpy(), parts.offsets.to_numpy()
+    ids, at = picked(ids, at[which], np.diff(at)[which])
+    return ids, at[first - first[0]]
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
@@ -97,10 +151,9 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
     def run(batches):
         codec = WordCodec.of(tokenizer)
         for batch in batches:
-            for part in text_chunks(batch, limit=1 << 21, owner="packing"):
-                texts = [t or "" for t in part.column("text").to_pylist()]
+            for part in text_chunks(batch, limit=CHUNK, owner="packing"):
                 rows = [[] for _ in range(6)]
-                for d, ids in zip(part.column("doc_id").to_pylist(), codec.encode(texts), strict=True):
+                for d, ids in zip(part.column("doc_id").to_pylist(), codec.encode(part.column("text")), strict=True):
                     ids += end
                     for p, at in enumerate(range(0, len(ids), 4 * capacity)):
                         cut = ids[at : at + 4 * capacity]

@@ -73,6 +73,60 @@ def test_packing_places_every_piece(documents, odd_rows):
     assert len(bins) <= -(-sum(r.length for r in got) // 256) + 1
 
 
+def test_packing_encodes_words_together_and_as_whole_texts(monkeypatch):
+    import re
+
+    import tokenizers
+
+    path, own = public_tokenizers.path("word_bpe_49k.json"), tokenizers.Tokenizer
+    model = own.from_file(path)
+    model.encode_special_tokens = True
+    handed = []
+
+    class Counting:
+        """The library's tokenizer, which notes how many strings it is handed."""
+
+        def __init__(self, inner):
+            self.__dict__["inner"] = inner
+
+        from_file = staticmethod(lambda p: Counting(own.from_file(p)))
+        from_str = staticmethod(lambda p: Counting(own.from_str(p)))
+
+        def __getattr__(self, name):
+            return getattr(self.inner, name)
+
+        def __setattr__(self, name, value):
+            setattr(self.inner, name, value)
+
+        def encode_batch_fast(self, texts, **options):
+            handed.append(len(texts))
+            return self.inner.encode_batch_fast(texts, **options)
+
+    monkeypatch.setattr(tokenizers, "Tokenizer", Counting)
+    codec = packing.WordCodec(path)
+    check = lambda texts: [np.frombuffer(i, "<u4").tolist() for i in codec.encode(texts)] == [model.encode(t, add_special_tokens=False).ids for t in texts]
+    letters = "abcdefghij"
+    words = [a + b + c + d for a in letters for b in letters for c in letters for d in letters[:3]]
+    assert check([" ".join(words), "", " ".join(w.title() + "," for w in words), "\n".join(w + ".***" for w in words)])
+    assert sum(handed) <= 20  # one string a word before: 9,003
+    handed.clear()
+    assert check([" ".join(w.upper() + "!!" for w in reversed(words)), "***"])  # pieces are remembered, "!!" and "***" are new
+    assert sum(handed) <= 3
+    handed.clear()
+    assert check(["\u0434\u043e\u043c \u041b\u0435\u0441 l'eau"]) and check(["l'eau \u0434\u043e\u043c, \u041b\u0435\u0441 \u0434\u043e\u043c"])
+    assert sum(handed) == 4  # so are words of other kinds
+
+    plain = [chr(c) for c in range(0x250) if re.fullmatch(f"[{packing.LETTER}]", chr(c))]
+    marks = [chr(c) for c in range(128)]
+    odd = ["</w> a</w> <|endoftext|>.", "dogs' don't, DON'T 's", "a\u0338 =\u0338 A\u030a. e\u0301!", "\x1c\x1d \x85x\xa0y\u3000 a\x00b", "\u0130x. \u03a3\u03a3, \u212b"]
+    assert check([f"{a}x{b}. {b}{a}" for a in plain for b in plain[::20]] + [f"ab{a}{b} {a}ab{b} \xc9{a}'s{b}" for a in marks for b in marks] + odd)
+
+    monkeypatch.setattr(packing, "MEMO_BYTES", 20_000)
+    for at in range(0, len(words), 300):
+        assert check([" ".join(words[at : at + 600])])
+        assert codec.pieces.known.nbytes + codec.pieces.ids.nbytes + codec.pieces.at.nbytes <= 20_000
+
+
 def test_packing_levels(spark, monkeypatch):
     monkeypatch.setattr(packing, "BUCKET_ITEMS", 16)
     rows = [(i, 0, 0, 1 + (i * 37) % 90, i) for i in range(400)]
