@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,6 +21,7 @@ MARKERS = (
     r"\s+mk\s*(?:ii|iii|iv|v|vi|\d+)$", r"\s+gen\s*\d+$", r"\s+v\s*\d+$", r"\s+plus$", r"\s+pro$", r"\s+(?:lite|sport)$",
     r"\s+(?:ii|iii|iv|v|vi)$", r"\s+\d+$", r"-20\d{2}$", r"-mk(?:ii|iii|iv|v|vi|\d+)$", r"-gen\d+$", r"-v\d+$",
 )
+OLDS, PAIRS, TABLE = 1024, 1 << 18, 1 << 22  # older products of a block, pairs compared at once, entries of a table of letters
 
 
 def candidate_pairs(products: DataFrame, window_days: int = 365, segment: bool = True, status: bool = True) -> DataFrame:
@@ -45,54 +51,217 @@ def normalised(name: Column) -> Column:
 
 def name_marker(name: Column) -> Column:
     """The first generation marker that ends a name, or null."""
-    return F.coalesce(*[F.trim(F.nullif(F.regexp_extract(normalised(name), f"({m})", 1), F.lit(""))) for m in MARKERS])
+    return marker_of(normalised(name))
 
 
 def name_base(name: Column) -> Column:
     """The name without its marker."""
-    n = normalised(name)
+    return base_of(normalised(name))
+
+
+def marker_of(n: Column) -> Column:
+    """name_marker of a normalised name; most names have none, which one expression tells."""
+    found = F.coalesce(*[F.trim(F.nullif(F.regexp_extract(n, f"({m})", 1), F.lit(""))) for m in MARKERS])
+    return F.when(F.regexp_like(n, F.lit("|".join(MARKERS))), found)
+
+
+def base_of(n: Column) -> Column:
+    """name_base of a normalised name."""
     out = n
     for m in reversed(MARKERS):
         out = F.when(F.regexp_like(n, F.lit(m)), F.trim(F.regexp_replace(n, m, ""))).otherwise(out)
-    return out
+    return F.when(F.regexp_like(n, F.lit("|".join(MARKERS))), out).otherwise(n)
+
+
+def subsequence(x: str, y: str) -> int:
+    """Length of the longest common subsequence, by a bit-parallel recurrence."""
+    at: dict[str, int] = {}
+    for i, ch in enumerate(x):
+        at[ch] = at.get(ch, 0) | (1 << i)
+    full = (1 << len(x)) - 1
+    s = full
+    for ch in y:
+        u = s & at.get(ch, 0)
+        s = ((s + u) | (s - u)) & full
+    return len(x) - s.bit_count()
 
 
 @F.pandas_udf(T.DoubleType())
 def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Twice the longest common subsequence over both lengths, by a bit-parallel recurrence."""
+    """Twice the longest common subsequence over both lengths."""
 
     def one(x, y):
         if x is None or y is None:
             return None
-        if not x and not y:
-            return 1.0
-        at: dict[str, int] = {}
-        for i, ch in enumerate(x):
-            at[ch] = at.get(ch, 0) | (1 << i)
-        full = (1 << len(x)) - 1
-        s = full
-        for ch in y:
-            u = s & at.get(ch, 0)
-            s = ((s + u) | (s - u)) & full
-        return 2.0 * (len(x) - s.bit_count()) / (len(x) + len(y))
+        return 2.0 * subsequence(x, y) / (len(x) + len(y)) if x or y else 1.0
 
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)])
 
 
-def naming_candidates(products: DataFrame, window_days: int = 365, min_similarity: float = 0.70) -> DataFrame:
-    """Similar base names of a family; .5 of the similarity, .3 for a new marker, .2 for the family."""
-    p = candidate_pairs(products, window_days, segment=False, status=False)
-    scores = []
-    for c in ("sku_description", "sku_id"):
-        if c not in products.columns:
+def letters(names: list[str]) -> np.ndarray:
+    """A row of code points for each name, one more than they are, and zeros after its end."""
+    size = np.array([len(x) for x in names])
+    codes = np.array(names, dtype=f"<U{max(1, size.max())}").view(np.uint32).reshape(len(names), -1) + np.uint32(1)
+    return np.where(np.arange(codes.shape[1]) < size[:, None], codes, np.uint32(0))
+
+
+def subsequences(xs: list[str], ys: list[str]) -> np.ndarray:
+    """subsequence of each y (rows) and x (columns); the recurrence runs over all pairs at once, in words as wide as the x need.
+
+    Names of over 64 letters among the x meet the y one by one.
+    """
+    size = np.array([len(x) for x in xs])
+    out = np.zeros((len(ys), len(xs)), np.uint8 if size.max() <= 64 else np.int32)
+    for least, kind in ((1, np.uint8), (9, np.uint16), (17, np.uint32), (33, np.uint64)):
+        bits = 8 * np.dtype(kind).itemsize
+        which = np.flatnonzero((size >= least) & (size <= bits))
+        while len(which):
+            found = letters([xs[i] for i in which])
+            alphabet = np.unique(found[found > 0])
+            if len(which) > 1 and len(alphabet) * len(which) > TABLE:
+                out[:, which[: len(which) // 2]] = subsequences([xs[i] for i in which[: len(which) // 2]], ys)
+                which = which[len(which) // 2 :]
+                continue
+            table, columns = np.zeros((len(alphabet) + 1, len(which)), kind), np.arange(len(which))
+            for i in range(found.shape[1]):
+                table[np.where(found[:, i] > 0, np.searchsorted(alphabet, found[:, i]) + 1, 0), columns] |= kind(1 << i)
+            table[0] = 0
+            order = sorted(range(len(ys)), key=lambda j: len(ys[j]))
+            while order:  # the shortest first, and few long ones at once
+                n = max(1, min(len(order), PAIRS // max(1, len(ys[order[-1]]))))
+                rows, order = order[-n:], order[:-n]
+                codes = letters([ys[j] for j in rows])
+                to = np.minimum(np.searchsorted(alphabet, codes), len(alphabet) - 1)
+                codes = np.where(alphabet[to] == codes, to + 1, 0)
+                s = np.full((n, len(which)), np.iinfo(kind).max, kind)
+                m, u = np.empty_like(s), np.empty_like(s)
+                for j in range(codes.shape[1]):
+                    np.take(table, codes[:, j], axis=0, out=m, mode="clip")
+                    np.bitwise_and(s, m, out=u)
+                    np.add(s, u, out=m)
+                    np.subtract(s, u, out=s)
+                    np.bitwise_or(s, m, out=s)
+                zeros = np.uint8(bits) - np.bitwise_count(s)
+                if len(rows) == len(ys) and len(which) == len(xs):
+                    whole = np.empty_like(zeros)
+                    whole[rows] = zeros
+                    return whole
+                out[np.ix_(rows, which)] = zeros
+            break
+    for i in np.flatnonzero(size > 64):
+        out[:, i] = [subsequence(xs[i], y) for y in ys]
+    return out
+
+
+def least_shared(most: int, least: float) -> np.ndarray:
+    """For each sum of two lengths up to most, the shortest common subsequence that makes a ratio of at least `least`."""
+    both = np.arange(most + 1)
+    out = np.maximum(0, np.floor(least * both / 2) - 1)
+    for _ in range(4):
+        out += np.where(both > 0, 2.0 * out / np.maximum(both, 1), 1.0) < least
+    return out.astype(np.int32)
+
+
+def coded(column: pa.Array, seen: dict[str, int]) -> np.ndarray:
+    """Numbers that are equal where names are; -1 for nulls."""
+    d = column.dictionary_encode()
+    to = np.array([seen.setdefault(x, len(seen)) for x in d.dictionary.to_pylist()] + [-1])
+    return to[d.indices.fill_null(len(d.dictionary)).to_numpy(zero_copy_only=False)]
+
+
+def named_alike(old: pa.RecordBatch, new: pa.RecordBatch, wanted: np.ndarray, fields: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(new row, old row, score) of the wanted pairs (a row for each new one) that are similar in a field."""
+    compared, similar = [], np.zeros(wanted.shape, bool)
+    for k in range(fields):
+        xs, ys, steps = {}, {}, {}
+        a, b = coded(old.column(f"base_{k}"), xs), coded(new.column(f"base_{k}"), ys)
+        if not xs or not ys:
             continue
-        old, new = F.col(c).cast("string"), F.col(f"{c}_new").cast("string")
-        p = p.withColumn(f"_s_{c}", indel_ratio(name_base(old), name_base(new)))
-        m, k = name_marker(old), name_marker(new)
-        step = (m.isNull() & k.isNotNull()) | (m.isNotNull() & k.isNotNull() & (m != k))
-        scores.append(F.when(F.col(f"_s_{c}") >= min_similarity, F.least(F.lit(1.0), 0.5 * F.col(f"_s_{c}") + F.when(step, 0.3).otherwise(0.0) + 0.2)))
-    best = F.greatest(*scores) if len(scores) > 1 else scores[0]
-    return p.select(F.col("sku_id").alias("old_sku"), F.col("sku_id_new").alias("new_sku"), F.lit("naming").alias("method"), best.alias("score")).where("score IS NOT NULL")
+        shared = subsequences(list(xs), list(ys))
+        size_x, size_y = np.array([len(x) for x in xs]), np.array([len(y) for y in ys])
+        need = least_shared(size_x.max() + size_y.max(), least)
+        enough = shared >= need.astype(shared.dtype if need.max() < 256 else np.int32)[size_y[:, None] + size_x]
+        if len(ys) < len(b) or (b != np.arange(len(b))).any():
+            enough = enough[b] & (b >= 0)[:, None]
+        if len(xs) < len(a) or (a != np.arange(len(a))).any():
+            enough = enough[:, a] & (a >= 0)
+        similar |= enough
+        compared.append((enough, shared, a, b, size_x, size_y, coded(old.column(f"marker_{k}"), steps), coded(new.column(f"marker_{k}"), steps)))
+    r, c = np.divmod(np.flatnonzero(similar & wanted), wanted.shape[1])
+    best = np.full(len(r), np.nan)
+    for enough, shared, a, b, size_x, size_y, m, n in compared:
+        x, y = a[c], b[r]
+        both = size_x[x] + size_y[y]
+        ratio = np.where(both > 0, 2.0 * shared[y, x] / np.maximum(both, 1), 1.0)
+        score = np.minimum(1.0, 0.5 * ratio + np.where((n[r] >= 0) & (m[c] != n[r]), 0.3, 0.0) + 0.2)
+        best = np.fmax(best, np.where(enough[r, c], score, np.nan))
+    return r, c, best
+
+
+def named_in_blocks(batches: Iterator[pa.RecordBatch], fields: int, window: int, least: float) -> Iterator[pa.RecordBatch]:
+    """The similar pairs of rows sorted by family, block, old before new, and day."""
+    held, last, out, ready = None, None, [], 0
+    for batch in batches:
+        if not len(batch):
+            continue
+        keys = [batch.column("product_family"), batch.column("block")]
+        first = last != tuple(k[0].as_py() for k in keys)
+        last = tuple(k[-1].as_py() for k in keys)
+        turns = np.zeros(len(batch), np.int64)
+        if len(batch) > 1:
+            turns[1:] = np.cumsum(np.logical_or.reduce([pc.not_equal(k[1:], k[:-1]).to_numpy(zero_copy_only=False) for k in keys]))
+        # days of one block are as they were, those of two blocks more than any window apart
+        days = batch.column("day").to_numpy().astype(np.int64) + (turns << 34)
+        is_new = batch.column("new").to_numpy(zero_copy_only=False)
+        old, old_days = batch.filter(pa.array(~is_new)), days[~is_new]
+        if held is not None and not first:
+            old, old_days = pa.Table.from_batches([held[0], old]).combine_chunks().to_batches(), np.concatenate([held[1], old_days])
+            old = old[0] if old else held[0]
+        open_ = old_days >= (turns[-1] << 34) - (1 << 33)
+        held = old.filter(pa.array(open_)), old_days[open_] - (turns[-1] << 34)
+        low, high = np.searchsorted(old_days, days[is_new] - window), np.searchsorted(old_days, days[is_new])
+        fits = high > low
+        new, new_days, low, high = batch.filter(pa.array(is_new)).filter(pa.array(fits)), days[is_new][fits], low[fits], high[fits]
+        p = 0
+        while p < len(new):
+            cost = np.arange(1, len(new) - p + 1) * (high[p:] - low[p])
+            q = p + max(1, int(np.searchsorted(cost, PAIRS, "right")))
+            some, those = old.slice(low[p], high[q - 1] - low[p]), new.slice(p, q - p)
+            gap = new_days[p:q, None] - old_days[low[p] : high[q - 1]]
+            r, c, score = named_alike(some, those, (gap > 0) & (gap <= window), fields, least)
+            p = q
+            if len(r):
+                method = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(r), np.int32)), ["naming"]).cast(pa.string())
+                out.append(pa.RecordBatch.from_arrays([some.column("sku_id").take(pa.array(c)), those.column("sku_id").take(pa.array(r)), method, pa.array(score)], names=["old_sku", "new_sku", "method", "score"]))
+                ready += len(r)
+            if ready >= PAIRS >> 3:
+                yield from pa.Table.from_batches(out).combine_chunks().to_batches()
+                out, ready = [], 0
+    if out:
+        yield from pa.Table.from_batches(out).combine_chunks().to_batches()
+
+
+def naming_candidates(products: DataFrame, window_days: int = 365, min_similarity: float = 0.70) -> DataFrame:
+    """Similar base names of a family; .5 of the similarity, .3 for a new marker, .2 for the family.
+
+    Names are parsed once a product.  A family's products are numbered by launch and cut into blocks of OLDS;
+    each is sent to its own block as an old one, and to all blocks up to its own as a new one.  Pairs exist only
+    beside the sorted rows of a block, PAIRS at once, and only similar ones leave it.
+    """
+    fields = [c for c in ("sku_description", "sku_id") if c in products.columns]
+    rows = products.where(F.col("product_family").isNotNull() & F.col("launch_date").isNotNull())
+    rows = rows.select("product_family", "sku_id", F.unix_date(F.col("launch_date").cast("date")).alias("day"), *[normalised(F.col(c).cast("string")).alias(f"n_{k}") for k, c in enumerate(fields)])
+    names = [f(F.col(f"n_{k}")).alias(f"{name}_{k}") for k in range(len(fields)) for name, f in (("base", base_of), ("marker", marker_of))]
+    rows = rows.select("product_family", "sku_id", "day", *names)
+    rest = rows.columns[1:]
+    number = F.row_number().over(W.partitionBy("product_family").orderBy("day", *[c for c in rest if c != "day"]))
+    rows = rows.withColumn("own", F.floor((number - 1) / OLDS).cast("int"))
+    rows = rows.withColumn("at", F.explode(F.sequence(F.lit(-1), "own")))
+    rows = rows.select("product_family", F.when(F.col("at") < 0, F.col("own")).otherwise(F.col("at")).alias("block"), (F.col("at") >= 0).alias("new"), *rest)
+    n = len(fields)
+    sku = products.schema["sku_id"].dataType
+    schema = T.StructType([T.StructField("old_sku", sku), T.StructField("new_sku", sku), T.StructField("method", T.StringType(), False), T.StructField("score", T.DoubleType())])
+    return rows.repartition("product_family", "block").sortWithinPartitions("product_family", "block", "new", "day").mapInArrow(lambda batches: named_in_blocks(batches, n, window_days, min_similarity), schema)
 
 
 def curve_candidates(products: DataFrame, sales: DataFrame, window_days: int = 365, weeks: int = 13) -> DataFrame:

@@ -566,14 +566,21 @@ def truncate_breaks(spark, sf):
 
 
 # ------------------------------------------------------------------ transitions
-def product_rows(spark, sf) -> DataFrame:
-    items = table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.min("l_shipdate").cast("date").alias("launch_date"), F.max("l_shipdate").cast("date").alias("eol_date"))
-    nations = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("p_partkey"), F.col("l_suppkey").alias("s_suppkey")).distinct().join(table(spark, sf, "supplier"), "s_suppkey")
-    nations = nations.groupBy("p_partkey").agg(F.collect_set(F.col("s_nationkey").cast("string")).alias("country"))
-    out = table(spark, sf, "part").join(items, "p_partkey").join(nations, "p_partkey")
+def product_rows(spark, sf, countries: bool = True) -> DataFrame:
+    """Products with a line of a known supplier; without countries the lines are aggregated once, and not dealt by supplier."""
+    lines = table(spark, sf, "lineitem").withColumnRenamed("l_partkey", "p_partkey")
+    spans = [F.min("l_shipdate").cast("date").alias("launch_date"), F.max("l_shipdate").cast("date").alias("eol_date")]
+    if countries:
+        items = lines.groupBy("p_partkey").agg(*spans)
+        nations = lines.select("p_partkey", F.col("l_suppkey").alias("s_suppkey")).distinct().join(table(spark, sf, "supplier"), "s_suppkey")
+        items = items.join(nations.groupBy("p_partkey").agg(F.collect_set(F.col("s_nationkey").cast("string")).alias("country")), "p_partkey")
+    else:
+        known = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.lit(True).alias("known"))
+        items = lines.join(known, "l_suppkey", "left").groupBy("p_partkey").agg(*spans, F.max("known").alias("known")).where("known")
+    out = table(spark, sf, "part").join(items, "p_partkey")
     return out.select(
         F.col("p_partkey").cast("string").alias("sku_id"), F.col("p_name").alias("sku_description"), F.concat_ws(" ", "p_type", F.col("p_size").cast("string")).alias("product_family"), F.col("p_type").alias("product_category"), F.lit("Standard").alias("form_factor"),
-        F.when(F.col("p_retailprice") > 1400, "Premium").otherwise("Value").alias("price_tier"), "country", F.col("p_brand").alias("segment"), "launch_date", "eol_date",
+        F.when(F.col("p_retailprice") > 1400, "Premium").otherwise("Value").alias("price_tier"), *["country"] * countries, F.col("p_brand").alias("segment"), "launch_date", "eol_date",
         F.when(F.col("eol_date") < F.lit("2001-06-01").cast("date"), "Discontinued").otherwise("Active").alias("status"),
     )
 
@@ -1244,7 +1251,7 @@ def mapping_proportions(spark, sf):
 
 @query()
 def naming_candidates(spark, sf):
-    return mapping.naming_candidates(product_rows(spark, sf).withColumn("product_family", F.concat_ws(" ", "product_family", "segment")))
+    return mapping.naming_candidates(product_rows(spark, sf, countries=False).withColumn("product_family", F.concat_ws(" ", "product_family", "segment")))
 
 
 @query()

@@ -231,6 +231,76 @@ def test_mapping(spark):
     assert [x[0] for x in r] == [0.75, 1.0, 0.0]
 
 
+def test_names_are_paired_without_rows_of_pairs(spark, monkeypatch):
+    import random
+
+    rng, day = random.Random(7), dt.date(2020, 1, 1)
+    names = ["Sound Max", "Sound Max 2", "SoundMax Pro", "Alpha Mk II", "Alpha mk III", "alpha", "", None, "é\U0001f600-2024", "long " * 14, "long " * 13 + "gen 2", "x"]
+    made = [(rng.choice(["f", "g", "h", None]), f"S{rng.randrange(40)}-v{rng.randrange(3)}", rng.choice(names), rng.choice([None] + [day + dt.timedelta(rng.randrange(700)) for _ in range(9)])) for _ in range(150)]
+    products = spark.createDataFrame(made + made[:5], "product_family string, sku_id string, sku_description string, launch_date date").withColumn("status", F.lit("Active"))
+
+    def common(x, y):
+        row = [0] * (len(y) + 1)
+        for a in x:
+            above, row = row, [0]
+            for j, b in enumerate(y):
+                row.append(above[j] + 1 if a == b else max(row[j], above[j + 1]))
+        return row[-1]
+
+    parsed = products.select("product_family", "launch_date", "sku_id", *[f(F.col(c)) for c in ("sku_description", "sku_id") for f in (mapping.name_base, mapping.name_marker)]).collect()
+    want = []
+    for a in parsed:
+        for b in parsed:
+            if not a[0] or a[0] != b[0] or not a[1] or not b[1] or not 0 < (b[1] - a[1]).days <= 365:
+                continue
+            best = []
+            for k in (3, 5):
+                if a[k] is None or b[k] is None:
+                    continue
+                ratio = 2.0 * common(a[k], b[k]) / (len(a[k]) + len(b[k])) if a[k] or b[k] else 1.0
+                if ratio >= 0.7:
+                    best.append(min(1.0, 0.5 * ratio + (0.3 if b[k + 1] is not None and a[k + 1] != b[k + 1] else 0.0) + 0.2))
+            if best:
+                want.append((a[2], b[2], "naming", max(best)))
+    assert len(want) > 300
+    for olds, batch in ((1024, 10000), (4, 7)):
+        monkeypatch.setattr(mapping, "OLDS", olds)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        try:
+            got = mapping.naming_candidates(products)
+            assert "Join" not in got._jdf.queryExecution().toString()
+            assert sorted(map(tuple, got.collect())) == sorted(want)
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_common_subsequences_of_all_pairs(monkeypatch):
+    import random
+
+    rng = random.Random(5)
+    for alphabet, longest in (("01234", 8), ("ab ", 30), ("aé\U0001f600\0", 64), ("abc", 90)):
+        xs, ys = ([""] + ["".join(rng.choices(alphabet, k=rng.randint(0, n))) for _ in range(30)] for n in (longest, longest + 20))
+        for table in (mapping.TABLE, 8):
+            monkeypatch.setattr(mapping, "TABLE", table)
+            got = mapping.subsequences(xs, ys)
+            assert [list(map(int, r)) for r in got] == [[mapping.subsequence(x, y) for x in xs] for y in ys]
+
+
+def test_products_of_known_suppliers(spark, tmp_path):
+    rows = {
+        "part": ([(k, "n", "b", "t", 1, 900.0) for k in range(5)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double"),
+        "supplier": ([(1, 3), (1, 4), (2, None)], "s_suppkey long, s_nationkey int"),
+        "lineitem": ([(0, 1, 5), (0, 9, 2), (1, 9, 1), (2, 2, 7), (3, None, 1), (None, 1, 1)], "l_partkey long, l_suppkey long, d int"),
+    }
+    for name, (made, schema) in rows.items():
+        df = spark.createDataFrame(made, schema)
+        (df.select("l_partkey", "l_suppkey", F.date_add(F.lit("2020-01-01").cast("date"), F.col("d")).alias("l_shipdate")) if name == "lineitem" else df).write.parquet(str(tmp_path / f"{name}.parquet"))
+    whole = catalog.product_rows(spark, str(tmp_path)).drop("country")
+    got = catalog.product_rows(spark, str(tmp_path), countries=False)
+    assert got.columns == whole.columns and sorted(got.collect()) == sorted(whole.collect())
+    assert [(r.sku_id, r.launch_date) for r in got.orderBy("sku_id").collect()] == [("0", dt.date(2020, 1, 3)), ("2", dt.date(2020, 1, 8))]
+
+
 def test_stores(spark, tmp_path):
     store = stores.OverrideStore(spark, str(tmp_path / "o"))
     assert store.get().count() == 0
