@@ -162,40 +162,63 @@ def least_shared(most: int, least: float) -> np.ndarray:
     return out.astype(np.int32)
 
 
-def coded(column: pa.Array, seen: dict[str, int]) -> np.ndarray:
-    """Numbers that are equal where names are; -1 for nulls."""
-    d = column.dictionary_encode()
-    to = np.array([seen.setdefault(x, len(seen)) for x in d.dictionary.to_pylist()] + [-1])
-    return to[d.indices.fill_null(len(d.dictionary)).to_numpy(zero_copy_only=False)]
-
-
-def named_alike(old: pa.RecordBatch, new: pa.RecordBatch, wanted: np.ndarray, fields: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(new row, old row, score) of the wanted pairs (a row for each new one) that are similar in a field."""
-    compared, similar = [], np.zeros(wanted.shape, bool)
-    for k in range(fields):
-        xs, ys, steps = {}, {}, {}
-        a, b = coded(old.column(f"base_{k}"), xs), coded(new.column(f"base_{k}"), ys)
+class Names:
+    """A column of names as numbers that are equal where names are, -1 for nulls."""
+
+    def __init__(self, column: pa.Array, seen: dict[str, int] | None = None):
+        d = column.dictionary_encode()
+        seen = {} if seen is None else seen
+        to = np.array([seen.setdefault(x, len(seen)) for x in d.dictionary.to_pylist()] + [-1])
+        self.rows = to[d.indices.fill_null(len(d.dictionary)).to_numpy(zero_copy_only=False)]
+        self.names = list(seen)
+        self.size = np.array([len(x) for x in seen], np.int64)
+
+    def different(self, rows: slice) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The different names of some rows, their lengths, and each row's place among them, -1 for nulls."""
+        which, at = np.unique(self.rows[rows], return_inverse=True)
+        nulls = int(len(which) > 0 and which[0] < 0)
+        which = which[nulls:]
+        return [self.names[i] for i in which], self.size[which], at - nulls
+
+
+def widened(x: np.ndarray, at: np.ndarray, axis: int) -> np.ndarray:
+    """Rows or columns of x by their place; false where that is -1."""
+    if len(at) == x.shape[axis] and (at == np.arange(len(at))).all():
+        return x
+    out = np.take(x, at, axis, mode="wrap")
+    if (at < 0).any():
+        out[at < 0 if axis == 0 else (slice(None), at < 0)] = False
+    return out
+
+
+def named_alike(old: list[tuple[Names, Names]], new: list[tuple[Names, Names]], low: np.ndarray, high: np.ndarray, news: slice, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(new row, old row, score) of the pairs with similar names in a field; new row i meets the old rows from low[i] up to high[i]."""
+    low, high = low[news].astype(np.int32), high[news].astype(np.int32)
+    olds = slice(int(low[0]), int(high[-1]))
+    compared, similar = [], None
+    for (x, m), (y, n) in zip(old, new, strict=True):
+        (xs, size_x, a), (ys, size_y, b) = x.different(olds), y.different(news)
         if not xs or not ys:
             continue
-        shared = subsequences(list(xs), list(ys))
-        size_x, size_y = np.array([len(x) for x in xs]), np.array([len(y) for y in ys])
-        need = least_shared(size_x.max() + size_y.max(), least)
-        enough = shared >= need.astype(shared.dtype if need.max() < 256 else np.int32)[size_y[:, None] + size_x]
-        if len(ys) < len(b) or (b != np.arange(len(b))).any():
-            enough = enough[b] & (b >= 0)[:, None]
-        if len(xs) < len(a) or (a != np.arange(len(a))).any():
-            enough = enough[:, a] & (a >= 0)
-        similar |= enough
-        compared.append((enough, shared, a, b, size_x, size_y, coded(old.column(f"marker_{k}"), steps), coded(new.column(f"marker_{k}"), steps)))
-    r, c = np.divmod(np.flatnonzero(similar & wanted), wanted.shape[1])
+        shared = subsequences(xs, ys)
+        sizes, length = np.unique(size_y, return_inverse=True)
+        need = least_shared(size_x.max() + sizes[-1], least)
+        need = need.astype(np.uint8 if need[-1] < 256 else np.int32)[sizes[:, None] + size_x]
+        enough = widened(widened(shared >= np.take(need, length, 0), a, 1), b, 0)
+        similar = enough if similar is None else similar | enough
+        compared.append((enough, shared, size_x, size_y, a, b, m.rows[olds], n.rows[news]))
+    if not compared:
+        return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+    place = np.arange(olds.start, olds.stop, dtype=np.int32)
+    r, c = np.nonzero(similar & (place < high[:, None]) & (place >= low[:, None]))
     best = np.full(len(r), np.nan)
-    for enough, shared, a, b, size_x, size_y, m, n in compared:
+    for enough, shared, size_x, size_y, a, b, m, n in compared:
         x, y = a[c], b[r]
         both = size_x[x] + size_y[y]
         ratio = np.where(both > 0, 2.0 * shared[y, x] / np.maximum(both, 1), 1.0)
         score = np.minimum(1.0, 0.5 * ratio + np.where((n[r] >= 0) & (m[c] != n[r]), 0.3, 0.0) + 0.2)
         best = np.fmax(best, np.where(enough[r, c], score, np.nan))
-    return r, c, best
+    return r + news.start, c + olds.start, best
 
 
 def named_in_blocks(batches: Iterator[pa.RecordBatch], fields: int, window: int, least: float) -> Iterator[pa.RecordBatch]:
@@ -221,18 +244,20 @@ def named_in_blocks(batches: Iterator[pa.RecordBatch], fields: int, window: int,
         held = old.filter(pa.array(open_)), old_days[open_] - (turns[-1] << 34)
         low, high = np.searchsorted(old_days, days[is_new] - window), np.searchsorted(old_days, days[is_new])
         fits = high > low
-        new, new_days, low, high = batch.filter(pa.array(is_new)).filter(pa.array(fits)), days[is_new][fits], low[fits], high[fits]
+        new, low, high = batch.filter(pa.array(is_new)).filter(pa.array(fits)), low[fits], high[fits]
+        parsed = []
+        for k in range(fields):
+            markers: dict[str, int] = {}
+            parsed.append([(Names(rows.column(f"base_{k}")), Names(rows.column(f"marker_{k}"), markers)) for rows in (old, new)])
         p = 0
         while p < len(new):
             cost = np.arange(1, len(new) - p + 1) * (high[p:] - low[p])
             q = p + max(1, int(np.searchsorted(cost, PAIRS, "right")))
-            some, those = old.slice(low[p], high[q - 1] - low[p]), new.slice(p, q - p)
-            gap = new_days[p:q, None] - old_days[low[p] : high[q - 1]]
-            r, c, score = named_alike(some, those, (gap > 0) & (gap <= window), fields, least)
+            r, c, score = named_alike([f[0] for f in parsed], [f[1] for f in parsed], low, high, slice(p, q), least)
             p = q
             if len(r):
                 method = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(r), np.int32)), ["naming"]).cast(pa.string())
-                out.append(pa.RecordBatch.from_arrays([some.column("sku_id").take(pa.array(c)), those.column("sku_id").take(pa.array(r)), method, pa.array(score)], names=["old_sku", "new_sku", "method", "score"]))
+                out.append(pa.RecordBatch.from_arrays([old.column("sku_id").take(pa.array(c)), new.column("sku_id").take(pa.array(r)), method, pa.array(score)], names=["old_sku", "new_sku", "method", "score"]))
                 ready += len(r)
             if ready >= PAIRS >> 3:
                 yield from pa.Table.from_batches(out).combine_chunks().to_batches()
