@@ -69,11 +69,11 @@ def rest(spark: SparkSession):
     if time.monotonic() - _rested[0] < REST_S:
         return
     jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
-    everywhere = time.monotonic() - _rested[1] >= EXECUTORS_REST_S
+    everywhere = time.monotonic() - _rested[-1] >= EXECUTORS_REST_S
     n = spark.sparkContext.defaultParallelism if everywhere else 1
     spark.range(0, n, 1, n).select(F.expr("reflect('java.lang.System', 'gc')" if everywhere else "id")).write.format("noop").mode("overwrite").save()
     if everywhere:
-        _rested[1] = time.monotonic()
+        _rested[-1] = time.monotonic()
     try:
         spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
     except Py4JError:
